@@ -54,3 +54,16 @@ def spread_by_class(members: DataFrame, classes: DataFrame, key: str, hot: DataF
     hot = F.broadcast(hot.select(key))
     few = F.broadcast(classes.join(hot, key, "left_semi"))
     return members.join(few, key).unionByName(members.join(hot, key, "left_anti").join(classes.join(hot, key, "left_anti"), key))
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold about ``most_bytes`` of the column each, one row at least; nothing is copied."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

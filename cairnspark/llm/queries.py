@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_counts, url_filter
+from . import decontaminate, exact_dedup, language_id, packing, token_counts, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,12 +23,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op5_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op5_packing, op6_language_id, op7_token_counts, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
