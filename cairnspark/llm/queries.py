@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, packing, token_counts, url_filter
+from . import decontaminate, exact_dedup, language_id, packing, pii, quality, secret_scan, token_counts, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -35,8 +39,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op5_packing, op6_language_id, op7_token_counts, op8_decontamination)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_pii, op5_packing, op6_language_id, op7_token_counts, op8_decontamination, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
