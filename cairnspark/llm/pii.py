@@ -301,5 +301,5 @@ def span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """doc_id, n_<kind> and base_sha256 of the base spans, and spans of all, as ``kind:start:end`` joined by commas."""
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in kinds]
+    counts = [F.size(F.filter(F.filter("spans", lambda s: s["base"])["kind"], lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in kinds]  # noqa: B023
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
