@@ -22,14 +22,17 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(F.coalesce(col.cast("string"), F.lit("")), UPPER, LOWER)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, read from the session; only where it is unset (as in tests) is one made."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+    return named or spark.sparkContext.getCheckpointDir()
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (as in tests) is a folder made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -49,6 +49,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, with its own columns.
+
+    Rows with a null id stay only where no other row has their text; of several rows with the winning id and text
+    one stays, whichever it is.
+    """
+    found = exact_dedup(docs, id_col, text_col)
+    out = docs.withColumn("cairn_sha", F.sha2(ascii_lower(F.col(text_col)), 256))
+    dropped = found.where(~F.col("kept") & F.col("keep_id").isNotNull()).select(F.col("doc_id").alias("cairn_id"), F.col("text_sha256").alias("cairn_dropped"))
+    out = out.join(dropped, F.col(id_col).eqNullSafe(F.col("cairn_id")) & (F.col("cairn_sha") == F.col("cairn_dropped")), "left_anti")
+    if not found.where(F.col("kept") | F.col("keep_id").isNull()).groupBy("text_sha256").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["cairn_sha"])
+    return out.drop("cairn_sha")
+
+
 ORACLE = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)

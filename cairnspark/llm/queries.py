@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, packing, pii, quality, secret_scan, token_counts, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, pii, quality, secret_scan, token_counts, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_pii, op5_packing, op6_language_id, op7_token_counts, op8_decontamination, op9_secret_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_pii, op4_jaccard_join, op5_packing, op6_language_id, op7_token_counts, op8_decontamination, op9_secret_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
