@@ -79,16 +79,17 @@ class CrossParser:
         self.symbol[common] = np.arange(2, self.width)
         tables = []
         base = 0
-        self.roots = []
+        self.starts = []
         for t in texts:
             edges = suffix_automaton(self.symbol[t].tolist())
             table = np.full((len(edges), self.width), -1, np.int64)
             for state, out in enumerate(edges):
                 table[state, list(out)] = list(out.values())
-            root = np.where(table[0] < 0, 0, table[0])
-            table = np.where(table < 0, 2 * (base + root) + 1, 2 * (base + table))
-            self.roots.append(base)
-            base += len(edges)
+            table = np.concatenate([table, np.full((1, self.width), -1, np.int64)])  # the last state begins every phrase anew
+            begin = np.where(table[0] < 0, len(edges), table[0])
+            table = np.where(table < 0, 2 * (base + begin) + 1, 2 * (base + table))
+            self.starts.append(base + len(edges))
+            base += len(table)
             tables.append(table)
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
 
@@ -108,8 +109,8 @@ class CrossParser:
         length = np.minimum(size[owner] - nth * SEGMENT, SEGMENT)
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
-        state = np.repeat(np.array(self.roots, np.int64)[:, None], len(owner), 1)
-        count = np.ones((len(self.names), len(owner)), np.int64)
+        state = np.repeat(np.array(self.starts, np.int64)[:, None], len(owner), 1)
+        count = np.zeros((len(self.names), len(owner)), np.int64)
         for k in range(int(length[0]) if len(length) else 0):
             live = int(np.searchsorted(-length, -k, side="left"))
             entry = self.table[state[:, :live] * self.width + flat[begin[:live] + k]]
