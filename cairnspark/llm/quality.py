@@ -96,7 +96,7 @@ def tree_paths(x: np.ndarray, cuts: list[np.ndarray], bins: np.ndarray, target:
         at = int(np.argmax(gain))
         if fit[at] and (best is None or gain[at] > best[0] + 1e-12):
             best = gain[at], k, float(cut[at])
-    if best is None or best[0] <= total**2 / n + 1e-9:
+    if best is None or best[0] <= total**2 / n + 0.5:
         return []
     _, k, cut = best
     out = []
