@@ -27,12 +27,12 @@ def chunk_layout(rows: DataFrame, dedup: bool = True, length: str = "size") -> D
     With ``dedup`` the first row of each digest owns the chunk, else every row owns one.  Chunks are numbered and
     laid end to end in the order of their first use.
     """
-    first = rows.groupBy("sha256").agg(F.min("position").alias("first_position")) if dedup else None
-    owned = rows.join(first, "sha256") if dedup else rows.withColumn("first_position", F.col("position"))
-    owners = lineage.running(owned.where("position = first_position").select("position", "sha256", "entry_id", F.col(length).cast("long").alias("chunk_length")), "position", {"ordinal": "1L", "chunk_offset": "chunk_length"})
     key = "sha256" if dedup else "position"
+    owner = F.struct("position", "entry_id", "sha256", F.col(length).cast("long").alias("chunk_length"))
+    owners = rows.groupBy("sha256").agg(F.min(owner).alias("o")).select("o.*") if dedup else rows.select(owner.alias("o")).select("o.*")
+    owners = lineage.running(owners, "position", {"ordinal": "1L", "chunk_offset": "chunk_length"})
     named = owners.select(key, F.concat(T.numbered("c", F.col("ordinal")), F.lit("-"), F.substring("sha256", 1, 16)).alias("chunk_id"), "chunk_offset", "chunk_length", F.col("entry_id").alias("owner"))
-    return owned.join(named, key).withColumn("dedup_of", F.when(F.col("owner") != F.col("entry_id"), F.col("owner"))).drop("owner", "first_position")
+    return rows.join(named, key).withColumn("dedup_of", F.when(F.col("owner") != F.col("entry_id"), F.col("owner"))).drop("owner")
 
 
 def dedup_summary(layout: DataFrame) -> DataFrame:

@@ -27,8 +27,11 @@ def index_documents(entries: DataFrame, content: str = "content", provided: str
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """term, entry_id: one row each, since terms are distinct within a document."""
-    return documents.select(F.explode("terms").alias("term"), "entry_id")
+    """term, entry_id: one row each, since terms are distinct within a document.
+
+    An inner explode would first filter on the size of the terms and so make them twice.
+    """
+    return documents.select(F.explode_outer("terms").alias("term"), "entry_id").where("term IS NOT NULL")
 
 
 def posting_lists(documents: DataFrame) -> DataFrame:
@@ -51,15 +54,17 @@ def ranked(hits: DataFrame, n_terms: int, limit: int | None) -> DataFrame:
 def search(documents: DataFrame, query: str, limit: int = DEFAULT_LIMIT, all_terms: bool = False) -> DataFrame:
     """entry_id, path, excerpt, score, matched_terms of the best documents, by rounded score and then path.
 
-    A scan: each document is scored where it is read and only each task's best rows travel.
+    A scan: each document is scored where it is read and only each task's best rows travel.  Documents without a
+    hit sort last and are dropped behind the limit; a filter before it would make the terms of each document twice.
     """
     limit = checked_limit(limit)
     wanted = query_terms(query, documents)
     if not wanted:
         return documents.where(F.lit(False)).select("entry_id", "path", "excerpt", F.lit(0.0).alias("score"), F.lit("").alias("matched_terms"))
     matched = F.array_intersect(F.array(*map(F.lit, wanted)), F.col("terms"))
-    hits = documents.withColumn("matched", matched).where(F.size("matched") >= (len(wanted) if all_terms else 1))
-    return ranked(hits.select("entry_id", "path", "excerpt", F.array_join("matched", " ").alias("matched_terms"), F.size("matched").alias("hits")), len(wanted), limit).select("entry_id", "path", "excerpt", "score", "matched_terms")
+    hits = documents.withColumn("matched", matched).select("entry_id", "path", "excerpt", F.array_join("matched", " ").alias("matched_terms"), F.size("matched").alias("hits"))
+    best = ranked(hits, len(wanted), limit).select("entry_id", "path", "excerpt", "score", "matched_terms")
+    return best.where(F.size(F.split("matched_terms", " ")) == len(wanted) if all_terms else F.col("matched_terms") != "")
 
 
 def search_index(index: DataFrame, documents: DataFrame, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -81,7 +86,7 @@ def search_batch(documents: DataFrame, queries: DataFrame, limit: int = 5) -> Da
     """
     limit = checked_limit(limit)
     asked = queries.select("query_id", T.terms(F.col("query")).alias("terms")).withColumn("n_terms", F.size("terms"))
-    hits = postings(documents).join(asked.select("query_id", "n_terms", F.explode("terms").alias("term")), "term").groupBy("query_id", "n_terms", "entry_id").agg(F.count("*").alias("hits"))
+    hits = postings(documents).join(asked.select("query_id", "n_terms", F.explode_outer("terms").alias("term")), "term").groupBy("query_id", "n_terms", "entry_id").agg(F.count("*").alias("hits"))
     scored = hits.select("query_id", "entry_id", T.half_even(F.col("hits") / F.col("n_terms"), 4).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= limit).select("query_id", "rank", "entry_id", "score")
