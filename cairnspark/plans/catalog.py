@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..functions import text as T
-from ..operators import manifest, reports, rules, search, semantic
+from ..operators import benchmarks, manifest, reports, rules, search, semantic
+from ..sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -452,6 +453,29 @@ def missing_sizes(spark, sf):
     return reports.missing(spark.createDataFrame([(1 << 30,), (20 << 30,)], "size_bytes long"), runs(spark), "size_bytes")
 
 
+@query(
+    """WITH f AS (SELECT range AS position, printf('group-%04d/file-%08d.txt', range % 32, range) AS path,
+    left(repeat(CASE WHEN range % 32 = 0 THEN 'group zero ' ELSE printf('group %d file %d ', range % 32, range) END, 512), 512) AS content FROM range(512))
+    SELECT count(*) AS files, count(DISTINCT content) AS unique_files, count(*) - count(DISTINCT content) AS dedup_files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM f"""
+)
+def synthetic_groups(spark, sf):
+    rows = synthetic.files(spark, 512, 512, 32)
+    out = rows.agg(F.count("*").alias("files"), F.countDistinct(F.sha2("content", 256)).alias("unique_files"), F.sum(F.octet_length("content")).alias("bytes"))
+    return out.withColumn("dedup_files", F.col("files") - F.col("unique_files"))
+
+
+@query("SELECT count(*) AS blocks, 10000001::BIGINT AS bytes FROM range(153)")
+def synthetic_blocks(spark, sf):
+    return synthetic.blocks(spark, 10_000_001).agg(F.count("*").alias("blocks"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query("SELECT * FROM (VALUES (2, 'entries'), (2, 'ratio'), (3, 'dedup'), (3, 'ratio'), (4, 'documents')) t(run, rule)")
+def artifact_check(spark, sf):
+    names = "run int, files long, dirs long, links long, entries long, index_documents long, dedup_entries long, unique_entries long, dedup_ratio double"
+    rows = [(1, 512, 0, 0, 512, 512, 15, 497, 0.029297), (2, 512, 32, 0, 512, 512, 15, 497, 0.03), (3, 10, 0, 0, 10, 10, 1, 8, 0.2), (4, 10, 0, 0, 10, 11, 1, 9, 0.1)]
+    return rules.violations(spark.createDataFrame(rows, names), "run", benchmarks.artifact_rules())
+
+
 # Modes and vectors
 
 
