@@ -51,12 +51,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what each but the last returns is written as Parquet to the shared folder and read again."""
-    docs, place = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{place}/{k}-{name}")
-            docs = spark.read.parquet(f"{place}/{k}-{name}")
-    return docs
+    """All stages in turn; what each but the last returns is written as Parquet to the shared folder and read again.
+
+    A stage's input goes once its output is written; the last stage is lazy, so its input stays.
+    """
+    docs, place, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{place}/{name}"
+    return STAGES[-1][1](spark, docs, sf_dir)
