@@ -1,29 +1,76 @@
-"""Connected components of an edge table by repeated contraction; nothing is collected."""
+"""Connected components of an edge table by alternating star operations; nothing is collected."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
 
+def stars(rows: DataFrame, kind: str) -> DataFrame:
+    """Edges (a, b) of stars over rows(u, v) that are partitioned by u and sorted by u, v; one pass, constant memory.
+
+    ``siblings``: from the least v of each u to its other v.
+    ``small``: the same for v < u, and from the least v to u itself.
+    ``large``: from the least of u and its neighbours v to every neighbour above u.
+    Repeats of a row count once.
+    """
+    node = rows.schema["v"].dataType.simpleString()
+
+    def run(batches):
+        last_u = last_v = first = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            u, v = batch.column(0), batch.column(1)
+            new, same = np.ones(n, bool), np.zeros(n, bool)
+            new[1:] = pc.not_equal(u.slice(1), u.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            same[1:] = pc.equal(v.slice(1), v.slice(0, n - 1)).to_numpy(zero_copy_only=False) & ~new[1:]
+            if last_u is not None and u[0].as_py() == last_u:
+                new[0], same[0] = False, v[0].as_py() == last_v
+            start = np.maximum.accumulate(np.where(new, np.arange(n), -1)) + 1
+            hub = pa.concat_arrays([pa.array([first], v.type), v]).take(pa.array(start))
+            last_u, last_v, first = u[n - 1].as_py(), v[n - 1].as_py(), hub[n - 1].as_py()
+            if kind == "large":
+                keep = pc.greater(v, u).to_numpy(zero_copy_only=False) & ~same
+                hub = pc.if_else(pc.less(hub, u), hub, u)
+                edges = [(hub, v, keep)]
+            else:
+                edges = [(hub, v, ~new & ~same & pc.not_equal(hub, v).to_numpy(zero_copy_only=False))]
+                if kind == "small":
+                    edges.append((hub, u, new))
+            for a, b, keep in edges:
+                if keep.any():
+                    mask = pa.array(keep)
+                    yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+    return rows.mapInArrow(run, f"a {node}, b {node}")
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("u").sortWithinPartitions("u", "v")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and root for every node of ``edges`` (columns a, b); the root is the least node of its component.
+    """node and root for every node of ``edges`` (columns a, b) but the roots; a root is the least node of its component.
 
-    Each round moves every node to its least neighbour, if that is less, and the edges with it; edges inside one
-    node vanish.  A star takes one round, a path of n nodes about log n.  The joins are on single keys with plain
-    aggregates before them, so a node with very many edges is split by the skew-join rule.
+    Large-star and small-star operations in turn: the first ties a node's greater neighbours to its least one, the
+    second its lesser ones; what stays the same in a round is one star for each component.  A round is two shuffles
+    of (node, node) rows, each reduced as a stream, so a node with very many edges takes no memory.
     """
-    edges = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    labels = nodes.select("node", F.col("node").alias("root"))
+    edges, before = edges.where("a <> b"), None
     for _ in range(most_rounds):
-        if edges.isEmpty():
-            return labels
-        parent = durable(edges.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent")))
-        moved = edges.join(parent.withColumnsRenamed({"child": "a", "parent": "to_a"}), "a", "left").join(parent.withColumnsRenamed({"child": "b", "parent": "to_b"}), "b", "left")
-        moved = moved.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
-        edges = durable(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-        labels = durable(labels.join(parent.withColumnsRenamed({"child": "root"}), "root", "left").select("node", F.coalesce("parent", "root").alias("root")))
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+        large = stars(grouped(both), "large")
+        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        edges = durable(stars(grouped(down), "small"))
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == before:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        before = now
     raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, per_batch, slices, spread_by_class
-from .components import connected_components
+from .components import connected_components, grouped, stars
 
 SHINGLE = 3
 PERCENT = 90  # two sets link when 100 * intersection >= PERCENT * union
@@ -248,7 +248,7 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def signature_table(docs: DataFrame) -> DataFrame:
-    """sig, node for each part signature of each distinct set of a slice of docs(doc_id, text)."""
+    """u (the signature), v (the node) for each part signature of each distinct set of a slice of docs(doc_id, text)."""
 
     def run(batches):
         known = WordHash()
@@ -257,31 +257,9 @@ def signature_table(docs: DataFrame) -> DataFrame:
                 sets = {digest(s): s for t in part.column("text") if len(s := shingle_set(t.as_py(), known))}
                 owner, found = part_signatures(list(sets.values()))
                 nodes = np.array([int.from_bytes(m[:8], "big", signed=True) for m in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(nodes[owner] if len(owner) else np.zeros(0, np.int64))], ["sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(nodes[owner] if len(owner) else np.zeros(0, np.int64))], ["u", "v"])
 
-    return docs.mapInArrow(run, "sig long, node long")
-
-
-def star_edges(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) from the least node of each signature to its others; rows are partitioned and sorted by sig, node."""
-
-    def run(batches):
-        sig, first, last = None, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, n = batch.column("sig").to_numpy(), batch.column("node").to_numpy()
-            new = np.r_[sig is None or s[0] != sig, s[1:] != s[:-1]]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            hub = np.where(start < 0, 0 if first is None else first, n[np.maximum(start, 0)])
-            before = np.r_[0 if last is None else last, n[:-1]]
-            edge = ~new & (n != before) & (n != hub)
-            sig, first, last = s[-1], hub[-1], n[-1]
-            if edge.any():
-                pairs = np.unique(np.stack([hub[edge], n[edge]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+    return docs.mapInArrow(run, "u long, v long")
 
 
 def grouped_links(rows: DataFrame) -> DataFrame:
@@ -328,23 +306,21 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
        that are whole then are done.  In those left, all pairs of blocks are traversed, passing over node pairs of
        one component.
     """
-    rows = signature_table(docs).repartition("sig").sortWithinPartitions("sig", "node")
-    groups = connected_components(star_edges(rows))
+    groups = connected_components(stars(grouped(signature_table(docs)), "siblings"))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     classes = sets.where("n > 0").groupBy("class", "node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     chosen = durable(classes.join(groups, "node").select("class", "doc_id", "n", F.col("root").alias("group")))
     blocks = chosen.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     chosen = durable(chosen.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))))
 
-    def with_text(wanted: DataFrame) -> DataFrame:
-        """wanted(doc_id, class, group, label, side) with the text of one row of that doc_id and class."""
-        return wanted.join(docs, "doc_id")
-
     nothing = {"label": F.lit(None).cast("binary"), "side": F.lit(None).cast("long")}
     first = chosen.select("doc_id", "class", F.struct("group", "block", F.lit(-1).cast("long").alias("other")).alias("group"), *(v.alias(k) for k, v in nothing.items()))
-    found = durable(grouped_links(with_text(first)))
+    found = durable(grouped_links(first.join(docs, "doc_id")))
     large = chosen.where("blocks > 1")
     if large.isEmpty():
         return found
+    large = durable(large)
+    texts = durable(large.select("doc_id").distinct().join(docs, "doc_id"))
 
     def labelled() -> DataFrame:
         roots = connected_components(found).select(F.col("node").alias("class"), F.col("root").alias("label"))
@@ -355,7 +331,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     meets = heads.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("meets"))
     heads = heads.join(meets, "group").withColumn("meet", F.pmod(F.xxhash64("class", F.lit(1)), F.col("meets")))
     heads = heads.select("doc_id", "class", F.struct("group", F.col("meet").alias("block"), F.lit(-2).cast("long").alias("other")).alias("group"), *(v.alias(k) for k, v in nothing.items()))
-    found = durable(found.unionByName(grouped_links(with_text(heads))))
+    found = durable(found.unionByName(grouped_links(heads.join(texts, "doc_id"))))
     now = labelled()
     split = now.groupBy("group").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("group")
     left = now.join(split, "group", "left_semi")
@@ -363,7 +339,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         return found
     pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
     pairs = pairs.select("doc_id", "class", F.struct("group", F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other")).alias("group"), "label", F.col("block").alias("side"))
-    return durable(found.unionByName(grouped_links(with_text(pairs))))
+    return durable(found.unionByName(grouped_links(pairs.join(texts, "doc_id"))))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = 0.001) -> DataFrame:
@@ -380,8 +356,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = durable(set_table(rows))
-    found = links(rows, sets)
-    roots = connected_components(found).select(F.col("node").alias("class"), "root")
+    roots = connected_components(links(rows, sets))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "class")
     members = sets.where("n > 0")
     total = members.count()
     hot = lambda frame, key: frame.groupBy(key).count().where(F.col("count") >= max(2.0, total * hot_share)).select(key)
