@@ -53,8 +53,10 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         ways += max(1, (worst - capacity) * ways // (8 * capacity))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, piece_tokens: int = 512, group_pieces: int = 512) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, piece_tokens: int = 512, group_pieces: int = 512, keep_ids: bool = False) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with ``keep_ids`` also ids.
+
+    ids are little-endian unsigned 32-bit numbers; ``sequences`` puts them together.
 
     A document is its ids, then ``END_ID``.  Stretches that fill whole windows stay together in windows of their
     own.  What is left of each document is cut into pieces of ``piece_tokens`` and a shorter last one, and groups
@@ -66,6 +68,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     an empty table gives no rows.  Other columns are ignored.
     """
     native = bpe.is_byte_level(tokenizer_path)
+    fields = (*FIELDS, *((("ids", pa.binary()),) if keep_ids else ()))
 
     def run(batches):
         encoder = bpe.fast(tokenizer_path) if native else None
@@ -84,15 +87,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for members in windows(np.array([p[2] for p in waiting]), capacity):
                 offset = 0
                 for k in sorted(members):
-                    rows.append((*waiting[k], sequence, offset))
+                    rows.append((*waiting[k][:5], sequence, offset, *waiting[k][5:]))
                     offset += waiting[k][2]
                 sequence += 1
             waiting.clear()
             return rows
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, kind) for c, (_, kind) in zip(columns[1:], FIELDS, strict=True))], ["doc_id", *(n for n, _ in FIELDS)])
+            columns = list(zip(*rows, strict=True)) or [[]] * (1 + len(fields))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, kind) for c, (_, kind) in zip(columns[1:], fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
 
         id_type = pa.int64()
         for batch in batches:
@@ -103,12 +106,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 data, total, at = ids.tobytes(), len(ids), 0
                 while at < total:
                     length = capacity if total - at >= capacity else min(piece_tokens, total - at)
-                    piece = (doc_id, at, length, zlib.crc32(memoryview(data)[4 * at : 4 * (at + length)]), total)
+                    own = memoryview(data)[4 * at : 4 * (at + length)]
+                    piece, kept = (doc_id, at, length, zlib.crc32(own), total), (bytes(own),) if keep_ids else ()
                     if length == capacity:
-                        rows.append((*piece, sequence, 0))
+                        rows.append((*piece, sequence, 0, *kept))
                         sequence += 1
                     else:
-                        waiting.append(piece)
+                        waiting.append((*piece, *kept))
                     at += length
                 if len(waiting) >= group_pieces:
                     rows += settle()
@@ -118,5 +122,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield table(settle())
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n, _ in FIELDS)
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n, _ in fields)
     return rows.mapInArrow(run, schema)
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """sequence_id, length, ids of pack(..., keep_ids=True): the pieces of a sequence in the order of their offsets."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    out = pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.transform(parts, lambda p: p["ids"]).alias("parts"))
+    return out.select("sequence_id", "length", F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"))

@@ -81,3 +81,14 @@ def test_edges(spark):
     assert packing.pack(docs.where("false"), PATH).count() == 0
     twice = packing.pack(spark.createDataFrame([(None, "a"), (5, "a"), (5, "a")], "doc_id long, text string"), PATH).collect()
     assert [r["doc_tokens"] for r in twice] == [2, 2, 2]
+
+
+def test_sequences_hold_the_ids(spark):
+    texts = {k: f"text {k} " * (40 * k) for k in range(30)}
+    pieces = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH, keep_ids=True)
+    whole = {r["sequence_id"]: np.frombuffer(bytes(r["ids"]), "<u4") for r in packing.sequences(pieces).collect()}
+    assert all(len(ids) <= 2048 for ids in whole.values())
+    rows = pieces.drop("ids").collect()
+    check(rows, texts)
+    for r in rows:
+        assert zlib.crc32(whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tobytes()) == r["ids_crc32"]
