@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def stars(rows: DataFrame, kind: str) -> DataFrame:
+def stars(rows: DataFrame, kind: str, changed=None) -> DataFrame:
     """Edges (a, b) of stars over rows(u, v) that are partitioned by u and sorted by u, v; one pass, constant memory.
 
     ``siblings``: from the least v of each u to its other v.
     ``small``: the same for v < u, and from the least v to u itself.
     ``large``: from the least of u and its neighbours v to every neighbour above u.
-    Repeats of a row count once.
+    Repeats of a row count once.  ``changed`` is an accumulator that is raised where an edge isn't there already.
     """
     node = rows.schema["v"].dataType.simpleString()
 
@@ -39,11 +39,14 @@ def stars(rows: DataFrame, kind: str) -> DataFrame:
             if kind == "large":
                 keep = pc.greater(v, u).to_numpy(zero_copy_only=False) & ~same
                 hub = pc.if_else(pc.less(hub, u), hub, u)
-                edges = [(hub, v, keep)]
+                edges, moved = [(hub, v, keep)], keep & pc.not_equal(hub, u).to_numpy(zero_copy_only=False)
             else:
-                edges = [(hub, v, ~new & ~same & pc.not_equal(hub, v).to_numpy(zero_copy_only=False))]
+                moved = ~new & ~same & pc.not_equal(hub, v).to_numpy(zero_copy_only=False)
+                edges = [(hub, v, moved)]
                 if kind == "small":
                     edges.append((hub, u, new))
+            if changed is not None and moved.any():
+                changed.add(1)
             for a, b, keep in edges:
                 if keep.any():
                     mask = pa.array(keep)
@@ -63,14 +66,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     second its lesser ones; what stays the same in a round is one star for each component.  A round is two shuffles
     of (node, node) rows, each reduced as a stream, so a node with very many edges takes no memory.
     """
-    edges, before = edges.where("a <> b"), None
+    edges = edges.where("a <> b")
     for _ in range(most_rounds):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        large = stars(grouped(both), "large")
+        changed = edges.sparkSession.sparkContext.accumulator(0)
+        both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
+        large = stars(grouped(both), "large", changed)
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        edges = durable(stars(grouped(down), "small"))
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == before:
+        edges = durable(stars(grouped(down), "small", changed))
+        if changed.value == 0:  # a task that ran twice can only raise it
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = now
     raise RuntimeError(f"no end after {most_rounds} rounds")

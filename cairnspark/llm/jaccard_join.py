@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +102,6 @@ class Forest:
     """Union-find over the sets of a tree."""
 
     parent: np.ndarray
-    links: list[tuple[int, int]] = field(default_factory=list)
 
     def root(self, k: int) -> int:
         while self.parent[k] != k:
@@ -114,7 +113,6 @@ class Forest:
         x, y = self.root(a), self.root(b)
         if x != y:
             self.parent[max(x, y)] = min(x, y)
-            self.links.append((a, b))
 
     def roots(self) -> np.ndarray:
         while (up := self.parent[self.parent]).tobytes() != self.parent.tobytes():
@@ -177,7 +175,7 @@ class SignatureTree:
 
 
 def link_sets(sets: list[np.ndarray], label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join all sets which a chain of links joins: a spanning forest, by dual traversal of one tree.
+    """Components by dual traversal of one tree: (root, member) for every set but the roots, which are the first of theirs.
 
     Sets with one ``label`` are joined already.  With ``side`` given, only pairs of different sides are looked at.
     """
@@ -222,7 +220,7 @@ def link_sets(sets: list[np.ndarray], label: np.ndarray | None = None, side: np.
         for k in range(0, len(x), 4096):
             heapq.heappush(work, (level - 1, count, x[k : k + 4096], y[k : k + 4096]))
             count += 1
-    return forest.links
+    return [(int(r), k) for k, r in enumerate(forest.roots()) if r != k]
 
 
 # Distributed part.
@@ -262,8 +260,11 @@ def signature_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "u long, v long")
 
 
-def grouped_links(rows: DataFrame) -> DataFrame:
-    """Links a, b (classes) within each group of rows(group, class, label, side, text); groups fit in memory."""
+def grouped_components(rows: DataFrame) -> DataFrame:
+    """Components within each group of rows(group, class, label, side, text): class and root of all but the roots.
+
+    A group fits in memory; rows of its task stream by.
+    """
 
     def run(batches):
         known = WordHash()
@@ -281,7 +282,7 @@ def grouped_links(rows: DataFrame) -> DataFrame:
                 return None
             label, side = ([unique[m][k] for m in marks] for k in (1, 2))
             links = link_sets(sets, np.array(label), np.array(side)) if label[0] is not None else link_sets(sets)
-            return pa.RecordBatch.from_arrays([pa.array([marks[x] for x, _ in links], pa.binary()), pa.array([marks[y] for _, y in links], pa.binary())], ["a", "b"]) if links else None
+            return pa.RecordBatch.from_arrays([pa.array([marks[k] for _, k in links], pa.binary()), pa.array([marks[r] for r, _ in links], pa.binary())], ["class", "root"]) if links else None
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -293,53 +294,57 @@ def grouped_links(rows: DataFrame) -> DataFrame:
         if (out := settle()) is not None:
             yield out
 
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "class binary, root binary")
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links a, b between classes that join every component of docs(doc_id, text); ``sets`` is its set_table.
+def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """class, root for the classes of docs(doc_id, text) that may link with another; ``sets`` is its set_table.
 
     1. Part signatures bring sets that may link together; their stars give candidate groups.
     2. One text of each class goes to its group.  A group is cut into blocks of bounded size, each a signature tree
-       that is traversed against itself.
-    3. Groups of several blocks: one class of each component found so far meets those of the other blocks; groups
-       that are whole then are done.  In those left, all pairs of blocks are traversed, passing over node pairs of
-       one component.
+       that is traversed against itself.  A group of one block is done.
+    3. Groups of several blocks: the roots of all blocks meet; groups that are whole then are done.  In those left,
+       all pairs of blocks are traversed, passing over node pairs of one component.
     """
     groups = connected_components(stars(grouped(signature_table(docs)), "siblings"))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     classes = sets.where("n > 0").groupBy("class", "node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     chosen = durable(classes.join(groups, "node").select("class", "doc_id", "n", F.col("root").alias("group")))
     blocks = chosen.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    chosen = durable(chosen.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))))
+    chosen = chosen.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
 
-    nothing = {"label": F.lit(None).cast("binary"), "side": F.lit(None).cast("long")}
-    first = chosen.select("doc_id", "class", F.struct("group", "block", F.lit(-1).cast("long").alias("other")).alias("group"), *(v.alias(k) for k, v in nothing.items()))
-    found = durable(grouped_links(first.join(docs, "doc_id")))
-    large = chosen.where("blocks > 1")
-    if large.isEmpty():
-        return found
-    large = durable(large)
-    texts = durable(large.select("doc_id").distinct().join(docs, "doc_id"))
+    def place(block: str, other) -> list:
+        return ["doc_id", "class", F.struct("group", F.col(block).alias("block"), other.cast("long").alias("other")).alias("group")]
+
+    alone = [F.lit(None).cast("binary").alias("label"), F.lit(None).cast("long").alias("side")]
 
-    def labelled() -> DataFrame:
-        roots = connected_components(found).select(F.col("node").alias("class"), F.col("root").alias("label"))
-        return durable(large.join(roots, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """``rows`` with the root of their label, where it has one, as label."""
+        roots = found.select(F.col("class").alias("label"), F.col("root").alias("_root"))
+        return rows.join(roots, "label", "left").withColumn("label", F.coalesce("_root", "label")).drop("_root")
 
-    now = labelled()
-    heads = now.where(F.col("class") == F.col("label"))
+    found = grouped_components(chosen.select(*place("block", F.lit(-1)), *alone).join(docs, "doc_id"))
+    now = durable(relabelled(chosen.withColumn("label", F.col("class")), found))
+    out = now.where("blocks = 1").select("class", F.col("label").alias("root"))
+    large = now.where("blocks > 1")
+    if large.isEmpty():
+        return out
+
+    texts = durable(large.select("doc_id").distinct().join(docs, "doc_id"))
+    heads = large.where(F.col("class") == F.col("label"))
     meets = heads.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("meets"))
     heads = heads.join(meets, "group").withColumn("meet", F.pmod(F.xxhash64("class", F.lit(1)), F.col("meets")))
-    heads = heads.select("doc_id", "class", F.struct("group", F.col("meet").alias("block"), F.lit(-2).cast("long").alias("other")).alias("group"), *(v.alias(k) for k, v in nothing.items()))
-    found = durable(found.unionByName(grouped_links(heads.join(texts, "doc_id"))))
-    now = labelled()
-    split = now.groupBy("group").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("group")
-    left = now.join(split, "group", "left_semi")
+    large = durable(relabelled(large, grouped_components(heads.select(*place("meet", F.lit(-2)), *alone).join(texts, "doc_id"))))
+    split = large.groupBy("group").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("group")
+    left = large.join(split, "group", "left_semi")
     if left.isEmpty():
-        return found
+        return out.unionByName(large.select("class", F.col("label").alias("root")))
     pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
-    pairs = pairs.select("doc_id", "class", F.struct("group", F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other")).alias("group"), "label", F.col("block").alias("side"))
-    return durable(found.unionByName(grouped_links(pairs.join(texts, "doc_id"))))
+    pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    joined = grouped_components(pairs.select(*place("low", F.col("high")), "label", F.col("block").alias("side")).join(texts, "doc_id"))
+    edges = joined.select(F.col("root").alias("a"), F.col("class").alias("b")).unionByName(large.select(F.col("label").alias("a"), F.col("class").alias("b")))
+    roots = connected_components(edges).withColumnRenamed("node", "class")
+    return out.unionByName(large.select("class").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root")))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = 0.001) -> DataFrame:
@@ -356,8 +361,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = durable(set_table(rows))
-    roots = connected_components(links(rows, sets))
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "class")
+    roots = set_components(rows, sets)
     members = sets.where("n > 0")
     total = members.count()
     hot = lambda frame, key: frame.groupBy(key).count().where(F.col("count") >= max(2.0, total * hot_share)).select(key)
