@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -27,7 +26,12 @@ NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4})\}?|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Base64 characters that may go on over single line breaks, with spaces around them.
+BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?<=[A-Za-z0-9+/_-]{16})|(?=[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]))(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LEAST_RUN = 16
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+STANDARD = str.maketrans("-_", "+/", " \t\r\n=")
 #: A compressed layer is read up to this size, so that a small text can't fill an executor; the rest of such a layer is not scanned.
 MOST_BYTES = 32_000_000
 
@@ -111,29 +115,42 @@ def readable(data: bytes) -> str | None:
     return text if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) > 0 else None
 
 
-def blobs(layer: Layer):
-    """Layers inside base64 runs; a compressed one maps as a whole to its run."""
-    for m in BLOB.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        whole = int(layer.start[m.start()]), int(layer.end[m.end() - 1])
-        packed = data
-        while (more := inflate(packed)) is not None:
-            packed = more
-        if (text := readable(packed)) is None:
-            continue
-        if packed is not data:
-            yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
+def runs(text: str):
+    """Base64 runs of a text: (end with padding, positions of the characters, the characters in the standard alphabet).
+
+    Lines that follow each other are one run, and each long enough line is a run of its own beside it.
+    """
+    for m in BLOB.finditer(text):
+        lines = [(k.start() + m.start(), k.end() + m.start()) for k in LINE.finditer(m[0])]
+        if sum(e - s for s, e in lines) < LEAST_RUN:
             continue
-        wide = np.array([len(c.encode()) for c in text])
-        last = np.cumsum(wide)  # bytes end here
-        first = last - wide
-        yield Layer(text, layer.start[m.start() + first * 4 // 3], layer.end[m.start() + -(-last * 4 // 3) - 1])
+        yield m.end(), np.concatenate([np.arange(s, e) for s, e in lines]), m[0].translate(STANDARD)
+        if len(lines) > 1:
+            for s, e in lines:
+                if e - s >= LEAST_RUN:
+                    yield m.end() if e == lines[-1][1] else e, np.arange(s, e), text[s:e].translate(STANDARD)
+
+
+def blobs(layer: Layer):
+    """Layers inside base64 runs, at each of the four alignments, as what stands before a run may be glued to it.
+
+    Bytes are taken as Latin-1, as all patterns are ASCII.  A compressed stream, wherever it begins in the bytes,
+    maps as a whole to the characters from its beginning to the end of its run.
+    """
+    for end, spot, run in runs(layer.text):
+        for shift in range(4):
+            part = run[shift:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            at = np.arange(len(data))
+            first, last = spot[shift + at * 4 // 3], spot[shift - (-(at + 1) * 4 // 3) - 1]
+            yield Layer(data.decode("latin-1"), layer.start[first], layer.end[last])
+            for m in MAGIC.finditer(data):
+                packed, more = None, data[m.start() :]
+                while (more := inflate(more)) is not None:
+                    packed = more
+                if packed and (text := readable(packed)) is not None:
+                    yield Layer(text, np.full(len(text), layer.start[first[m.start()]]), np.full(len(text), layer.end[end - 1]))
 
 
 def unwrapped(layer: Layer):
@@ -146,7 +163,7 @@ def unwrapped(layer: Layer):
 
 
 def worth_unwrapping(text: str) -> bool:
-    return PERCENT.search(text) is not None or ESCAPE.search(text) is not None or BLOB.search(text) is not None
+    return PERCENT.search(text) is not None or ESCAPE.search(text) is not None or next(runs(text), None) is not None
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

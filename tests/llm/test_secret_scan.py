@@ -55,6 +55,37 @@ def test_every_wrapping_is_undone_and_mapped():
     assert kind == "assign" and raw in base64.b64decode(inner[s - s % 4 : e + -e % 4]) and e - s < len(inner)
 
 
+def wrapped_at(run, width, indent="", end="\n"):
+    return (end + indent).join(run[k : k + width] for k in range(0, len(run), width))
+
+
+def test_wrapped_and_glued_base64():
+    rng = random.Random(5)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    for before in range(30, 60):
+        plain = ("x" * before + " password=hunter2hunter2 é " + noise(9)).encode()
+        for width, indent, end in ((76, "", "\n"), (64, "  ", "\r\n"), (20, "\t", "\n"), (7, "", "\n")):
+            text = f"é key:\n{wrapped_at(b64(plain), width, indent, end)}\nend."
+            found = [(s, e) for k, s, e in ss.added_spans(text, []) if k == "assign"]
+            inner = [re.sub(r"\s", "", text[s:e]) for s, e in found]
+            assert any(b64(plain).find(run) * 3 // 4 <= before + 1 and len(run) >= 31 for run in inner), (before, width)
+    layer = (noise(60) + " password=hunter2hunter2 " + noise(20)).encode()
+    for pack in (zlib.compress, gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        text = f"a line\n{wrapped_at(b64(pack(layer)), 76)}\n-----END"
+        (kind, s, e), = ss.added_spans(text, [])
+        assert kind == "assign" and s == 7 and e >= len(text) - 9, pack
+    for glue in ("/v1/", "/a/v1/", "key-", "id_", "abcde", "x/yy-zzz_"):
+        for body in (SECRET.encode(), zlib.compress(layer)):
+            text = f"see {glue}{b64(body)} end"
+            assert any(k == "assign" and s <= 4 + len(glue) + 4 for k, s, _ in ss.added_spans(text, [])), (glue, body)
+    lines = [b64(b"token=abcdef%03d" % k) for k in range(9)]  # runs of their own, one a line
+    text = "\n".join(lines)
+    found = {text[s:e] for k, s, e in ss.added_spans(text, []) if k == "assign"}
+    assert set(lines) <= found
+    for text in ("word\n" * 60_000, "eJw0" * 50_000, "QlpoO" * 50_000, "AAAA\n" * 60_000):
+        ss.added_spans(text, [])  # about linear, so this ends
+
+
 def test_what_is_plain_is_not_added_and_cycles_end():
     text = f"{SECRET} %25252525 and \\u005cu005c {b64(b'just some plain words here')}"
     assert ss.added_spans(text, ss.base_spans(text)) == []
