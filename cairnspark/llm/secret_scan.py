@@ -26,6 +26,8 @@ NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4})\}?|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: ASCII as UTF-16, in either byte order, in a text that has a character for each byte.
+WIDE = re.compile(r"(?:[\x01-\x7f]\0){4,}|(?:\0[\x01-\x7f]){4,}")
 #: Base64 characters that may go on over single line breaks, with spaces around them.
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?<=[A-Za-z0-9+/_-]{16})|(?=[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]))(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -85,6 +87,10 @@ def escape(m: re.Match) -> list[tuple[str, int]] | None:
     return [(chr(code), m.end() - m.start())] if code < 0x110000 else None
 
 
+def narrow(m: re.Match) -> list[tuple[str, int]]:
+    return [(c, 2) for c in m[0].replace("\0", "")]
+
+
 def inflate(data: bytes) -> bytes | None:
     """A compressed layer known by its first bytes, up to MOST_BYTES; None if it is none."""
     try:
@@ -107,14 +113,6 @@ def inflate(data: bytes) -> bytes | None:
     return None
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) > 0 else None
-
-
 def runs(text: str):
     """Base64 runs of a text: (end with padding, positions of the characters, the characters in the standard alphabet).
 
@@ -149,7 +147,8 @@ def blobs(layer: Layer):
                 packed, more = None, data[m.start() :]
                 while (more := inflate(more)) is not None:
                     packed = more
-                if packed and (text := readable(packed)) is not None:
+                if packed:
+                    text = packed.decode("latin-1")
                     yield Layer(text, np.full(len(text), layer.start[first[m.start()]]), np.full(len(text), layer.end[end - 1]))
 
 
@@ -159,6 +158,8 @@ def unwrapped(layer: Layer):
         yield below
     if ("\\" in layer.text or "&#" in layer.text) and (below := replaced(layer, ESCAPE, escape)):
         yield below
+    if "\0" in layer.text and (below := replaced(layer, WIDE, narrow)):
+        yield below
     yield from blobs(layer)
 
 

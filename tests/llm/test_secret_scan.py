@@ -2,9 +2,11 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -86,6 +88,30 @@ def test_wrapped_and_glued_base64():
         ss.added_spans(text, [])  # about linear, so this ends
 
 
+def tar_of(data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        entry = tarfile.TarInfo("app.env")
+        entry.size = len(data)
+        tar.addfile(entry, io.BytesIO(data))
+    return out.getvalue()
+
+
+def test_layers_that_are_not_plain_utf8():
+    secret = "password=hunter2hunter2"
+    noise = " ".join(f"value{k}" for k in range(40))
+    for raw in (
+        tar_of(f"{noise}\n{secret}\n".encode()), f"{noise} {secret} é".encode("latin-1"), gzip.compress(f"{noise} é {secret}".encode("latin-1")), f"{noise} {secret} 漢 é".encode("utf-16-le"), f"{noise} {secret} 漢".encode("utf-16-be"),
+        secret.encode("utf-16"), zlib.compress(f"漢 {secret} {noise}".encode("utf-16")), bytes(range(256)) + secret.encode() + bytes(range(255, -1, -1)), b64(f"漢 {secret}".encode("utf-16-le")).encode("utf-16-le"), zlib.compress(b"\0\xff" * 500 + b64(secret.encode()).encode() + b"\0" * 500),
+    ):
+        text = f"été {b64(raw)} end"
+        found = [(s, e) for k, s, e in ss.added_spans(text, []) if k == "assign"]
+        assert found and all(4 <= s < e <= len(text) - 4 for s, e in found), raw[:60]
+    wide = b64(f"{noise} {secret} {noise}".encode("utf-16-le"))
+    (_, s, e), = ss.added_spans(wide, [])
+    assert 0 <= s - len(noise) * 8 // 3 <= 4 and len(secret) * 8 // 3 <= e - s <= len(secret) * 8 // 3 + 4
+
+
 def test_what_is_plain_is_not_added_and_cycles_end():
     text = f"{SECRET} %25252525 and \\u005cu005c {b64(b'just some plain words here')}"
     assert ss.added_spans(text, ss.base_spans(text)) == []
