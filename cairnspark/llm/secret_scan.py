@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import binascii
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from dataclasses import dataclass
 
@@ -24,18 +27,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})++")
 ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4})\}?|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: ASCII as UTF-16, in either byte order, in a text that has a character for each byte.
-WIDE = re.compile(r"(?:[\x01-\x7f]\0){4,}|(?:\0[\x01-\x7f]){4,}")
+WIDE = re.compile(r"(?:[\x01-\x7f]\0){4,}+|(?:\0[\x01-\x7f]){4,}+")
 #: Base64 characters that may go on over single line breaks, with spaces around them.
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?<=[A-Za-z0-9+/_-]{16})|(?=[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]))(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 LEAST_RUN = 16
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 STANDARD = str.maketrans("-_", "+/", " \t\r\n=")
-#: A compressed layer is read up to this size, so that a small text can't fill an executor; the rest of such a layer is not scanned.
-MOST_BYTES = 32_000_000
+SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18")  # begins a part of a zstd stream that holds no data
+#: Bytes of a layer that are kept in memory; more go to an unnamed temporary file of the task.
+KEPT_BYTES = 8_000_000
+PIECE = 3 << 18  # divides by the width of every encoding
+ZEROS = re.compile(rb"\0+")
+FED = 256  # compressed bytes at a time, so that what comes out at once is small
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -91,26 +98,87 @@ def narrow(m: re.Match) -> list[tuple[str, int]]:
     return [(c, 2) for c in m[0].replace("\0", "")]
 
 
-def inflate(data: bytes) -> bytes | None:
-    """A compressed layer known by its first bytes, up to MOST_BYTES; None if it is none."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(data, MOST_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_BYTES)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MOST_BYTES)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+class Spool:
+    """Bytes that are written once and then read as ``bytes`` or, if they are many, as a mapped file."""
+
+    def __init__(self):
+        self.held, self.file, self.size, self.hash = bytearray(), None, 0, hashlib.sha1()
+
+    def write(self, data: bytes) -> None:
+        self.held += data
+        self.size += len(data)
+        self.hash.update(data)
+        if len(self.held) > KEPT_BYTES:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.write(self.held)
+            self.held.clear()
+
+    def read(self) -> bytes | mmap.mmap:
+        if self.file is None:
+            return bytes(self.held)
+        self.file.write(self.held)
+        self.file.flush()
+        data = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+        self.file.close()
+        return data
+
+
+def inflate(data, start: int) -> tuple[Spool, int, bool] | None:
+    """What the stream that begins at ``start`` and the members after it hold, its end, and whether its end was reached.
+
+    A stream that is cut or damaged gives what came out before; None stands for nothing at all.
+    """
+    out, at, whole = Spool(), start, False
+    while True:
+        head = data[at : at + 8]
+        if SKIPPED.match(head) and len(head) == 8:
+            at += 8 + int.from_bytes(head[4:], "little")
+            continue
+        if not MAGIC.match(head):
+            break
+        whole = False
+        if head[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                return reader.read(MOST_BYTES)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    except Exception as error:  # zstandard has an error class of its own
-        if type(error).__name__ != "ZstdError":
-            raise
-    return None
+            open_, wrong = zstandard.ZstdDecompressor().decompressobj(), zstandard.ZstdError
+        elif head[:3] == b"BZh":
+            open_, wrong = bz2.BZ2Decompressor(), OSError
+        elif head[:1] == b"\xfd":
+            open_, wrong = lzma.LZMADecompressor(), lzma.LZMAError
+        else:
+            open_, wrong = zlib.decompressobj(47), zlib.error
+        limit = (PIECE,) if hasattr(open_, "needs_input") else ()
+        fed = at
+        try:
+            while not open_.eof and fed < len(data):
+                piece = data[fed : fed + FED]
+                fed += len(piece)
+                out.write(open_.decompress(piece, *limit))
+                while limit and not open_.eof and not open_.needs_input:
+                    out.write(open_.decompress(b"", *limit))
+            whole = open_.eof
+        except wrong:
+            break
+        at = fed - len(open_.unused_data or b"")
+        if not whole:
+            break
+        if data[at : at + 1] == b"\0":  # padding between members
+            zeros = ZEROS.match(data, at).end()
+            if not MAGIC.match(data, zeros):
+                break
+            at = zeros
+    return (out, at if whole else len(data), whole) if out.size else None
+
+
+def streams(data):
+    """(start, end, Spool) of each compressed stream in bytes; what a whole stream covers is passed over."""
+    at = 0
+    while m := MAGIC.search(data, at):
+        at = m.start() + 1
+        if found := inflate(data, m.start()):
+            yield m.start(), found[1], found[0]
+            if found[2]:
+                at = found[1]
 
 
 def runs(text: str):
@@ -143,13 +211,87 @@ def blobs(layer: Layer):
             at = np.arange(len(data))
             first, last = spot[shift + at * 4 // 3], spot[shift - (-(at + 1) * 4 // 3) - 1]
             yield Layer(data.decode("latin-1"), layer.start[first], layer.end[last])
-            for m in MAGIC.finditer(data):
-                packed, more = None, data[m.start() :]
-                while (more := inflate(more)) is not None:
-                    packed = more
-                if packed:
-                    text = packed.decode("latin-1")
-                    yield Layer(text, np.full(len(text), layer.start[first[m.start()]]), np.full(len(text), layer.end[end - 1]))
+            for s, e, inside in streams(data):
+                until = end - 1 if e == len(data) else last[e - 1]
+                yield Whole(inside, int(layer.start[first[s]]), int(layer.end[until]))
+
+
+@dataclass
+class Whole:
+    """Bytes that came out of a compressed stream, which stands from ``start`` to ``end`` of the document as a whole.
+
+    So it is enough to know which kinds of secret are in them.  However many they are, they are read by pieces.
+    """
+
+    spool: Spool
+    start: int
+    end: int
+
+    def kinds(self, data):
+        if any(ASSIGNED.match(data, at) for at in self.names(data)):
+            yield "assign"
+        if re.search(rb"AKIA[A-Z0-9]{16}", data):
+            yield "access"
+        if re.search(rb"[0-9a-f]{24}", data):
+            yield "hex"
+
+    def names(self, data):
+        """Where a name of a secret may begin."""
+        for k in range(0, len(data), PIECE):
+            piece = data[k : k + PIECE + 8].lower()
+            if any(name in piece for name in NAMES):
+                yield from (k + m.start() for m in NAME.finditer(piece) if m.start() < PIECE)
+
+    def below(self, data):
+        """Every layer directly below."""
+        yield from (inside for _, _, inside in streams(data))
+        for pattern, width, decode in BYTES:
+            if found := self.replaced(data, pattern, width, decode):
+                yield found
+        for m in RUN.finditer(data):
+            if m.end() - m.start() >= LEAST_RUN:
+                yield from (self.decoded(data, m.start(), m.end(), shift) for shift in range(4))
+
+    def replaced(self, data, pattern: re.Pattern, width: int, decode) -> Spool | None:
+        out, at, some = Spool(), 0, False
+        for m in pattern.finditer(data):
+            some = True
+            for k in range(at, m.start(), PIECE):
+                out.write(data[k : min(k + PIECE, m.start())])
+            for k in range(m.start(), m.end(), PIECE // width * width):
+                out.write(decode(data[k : min(k + PIECE // width * width, m.end())]))
+            at = m.end()
+        for k in range(at, len(data) if some else 0, PIECE):
+            out.write(data[k : k + PIECE])
+        return out if some else None
+
+    def decoded(self, data, start: int, end: int, shift: int) -> Spool:
+        out, rest = Spool(), b""
+        for k in range(start, end, PIECE):
+            rest += data[k : min(k + PIECE, end)].translate(STANDARD_BYTES, b" \t\r\n=")
+            if shift:
+                shift, rest = max(0, shift - len(rest)), rest[shift:]
+            out.write(binascii.a2b_base64(rest[: len(rest) // 4 * 4]))
+            rest = rest[len(rest) // 4 * 4 :]
+        if len(rest) > 1:
+            out.write(binascii.a2b_base64(rest + b"=" * (-len(rest) % 4)))
+        return out
+
+
+def escape_bytes(data: bytes) -> bytes:
+    found = escape(ESCAPE.fullmatch(data.decode()))
+    return found[0][0].encode("utf-8", "surrogatepass") if found else data
+
+
+NAME = re.compile(rb"password|passwd|secret|token|api_?key")
+ASSIGNED = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]{6}""", re.IGNORECASE)
+RUN = re.compile(BLOB.pattern.encode())
+STANDARD_BYTES = bytes.maketrans(b"-_", b"+/")
+BYTES = (
+    (re.compile(PERCENT.pattern.encode()), 3, lambda data: bytes.fromhex(data.replace(b"%", b"").decode())),
+    (re.compile(ESCAPE.pattern.encode()), 1, escape_bytes),
+    (re.compile(WIDE.pattern.encode()), 2, lambda data: data.replace(b"\0", b"")),
+)
 
 
 def unwrapped(layer: Layer):
@@ -175,21 +317,34 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     """
     if not worth_unwrapping(text):
         return []
-    spot = np.arange(len(text))
-    work, seen, out = [Layer(text, spot, spot + 1)], set(), set()
+    spot = np.arange(len(text) + 1, dtype=np.int32)
+    work, seen, out = [Layer(text, spot[:-1], spot[1:])], set(), set()
+
+    def add(kind: str, s: int, e: int) -> None:
+        if not any(k == kind and a <= s and e <= b for k, a, b in base):
+            out.add((kind, s, e))
+
     while work:
-        for below in unwrapped(work.pop()):
-            if not below.text:
-                continue
-            mark = hashlib.sha1(below.text.encode("utf-8", "surrogatepass")).digest(), int(below.start[0]), int(below.end[-1])
+        layer = work.pop()
+        if isinstance(layer, Whole):
+            data = layer.spool.read()
+            for kind in layer.kinds(data):
+                add(kind, layer.start, layer.end)
+            found = (Whole(inside, layer.start, layer.end) for inside in layer.below(data) if inside.size)
+        else:
+            found = (below for below in unwrapped(layer) if isinstance(below, Whole) or below.text)
+        for below in found:
+            if isinstance(below, Whole):
+                mark = below.spool.hash.digest(), below.start, below.end
+            else:
+                mark = hashlib.sha1(below.text.encode("utf-8", "surrogatepass")).digest(), int(below.start[0]), int(below.end[-1])
             if mark in seen:
                 continue
             seen.add(mark)
             work.append(below)
-            for kind, s, e in base_spans(below.text):
-                span = kind, int(below.start[s:e].min()), int(below.end[s:e].max())
-                if not any(k == kind and a <= span[1] and span[2] <= b for k, a, b in base):
-                    out.add(span)
+            if isinstance(below, Layer):
+                for kind, s, e in base_spans(below.text):
+                    add(kind, int(below.start[s:e].min()), int(below.end[s:e].max()))
     return sorted(out)
 
 
