@@ -229,7 +229,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n, class (the set's digest) and node (its first 64 bits) of docs(doc_id, text)."""
+    """doc_id, n, class (the set's digest) and node (its first 64 bits) of docs(doc_id, text); its other columns follow."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def make():
         known = WordHash()
@@ -238,11 +239,12 @@ def set_table(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t.as_py(), known) for t in batch.column("text")]
             marks = [digest(s) for s in sets]
             nodes = pa.array([int.from_bytes(m[:8], "big", signed=True) for m in marks], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), nodes], ["doc_id", "n", "class", "node"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), nodes, *(batch.column(c) for c in others)], ["doc_id", "n", "class", "node", *others])
 
         return step
 
-    return per_batch(docs, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, class binary, node long", make)
+    kinds = dict(docs.dtypes)
+    return per_batch(docs, ", ".join([f"doc_id {kinds['doc_id']}, n long, class binary, node long", *(f"{c} {kinds[c]}" for c in others)]), make)
 
 
 def signature_table(docs: DataFrame) -> DataFrame:
@@ -359,9 +361,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     give a row each; an empty table gives none.  Other
     columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return joined(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), hot_share)
+
+
+def joined(rows: DataFrame, hot_share: float = 0.001) -> DataFrame:
+    """The Jaccard join of rows(doc_id, text), whose other columns are carried along."""
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
     sets = durable(set_table(rows))
-    roots = set_components(rows, sets)
+    roots = set_components(rows.select("doc_id", "text"), sets)
     members = sets.where("n > 0")
     total = members.count()
     hot = lambda frame, key: frame.groupBy(key).count().where(F.col("count") >= max(2.0, total * hot_share)).select(key)
@@ -371,15 +378,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_class = spread_by_class(linked, by_root, "root", durable(hot(linked, "root"))).select("class", "component_id")
     alone = least.join(by_class, "class", "left_anti").select("class", F.col("least").alias("component_id"))
     by_class = durable(by_class.unionByName(alone))
-    out = spread_by_class(members, by_class, "class", durable(hot(members, "class"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = spread_by_class(members, by_class, "class", durable(hot(members, "class"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *others)
+    return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *others))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of its component_id.
 
-    Rows with a null id all stay, as do repeated rows of an id that stays.
+    A row goes by its id and text, so an id that stands on several texts can lose one and keep another.  Rows with a
+    null id all stay, as do repeated rows of an id that stays.
     """
-    found = jaccard_join(docs, id_col, text_col)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("cairn_dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("cairn_dropped"), "left_anti")
+    mark = F.unhex(F.sha2(F.col(text_col).cast("string"), 256))
+    found = joined(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("cairn_mark")))
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("cairn_dropped"), "cairn_mark")
+    return docs.join(dropped, (F.col(id_col) == F.col("cairn_dropped")) & (mark == F.col("cairn_mark")), "left_anti")

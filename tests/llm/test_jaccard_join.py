@@ -131,3 +131,11 @@ def test_keep_one(spark):
     out = jj.keep_one(docs)
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4]
+
+
+def test_keep_one_with_an_id_on_several_texts(spark):
+    """Only the row that links with a smaller id goes; other texts of its id stay, in components of their own or alone."""
+    rows = [(1, "a b c"), (5, "A b c"), (5, "quite another text"), (6, "Quite another text"), (7, "x y z"), (3, "X y z"), (7, None), (8, "alone and whole"), (8, "alone too here"), (None, "a b c")]
+    out = jj.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(1, "a b c"), (5, "quite another text"), (3, "X y z"), (7, None), (8, "alone and whole"), (8, "alone too here"), (None, "a b c")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
