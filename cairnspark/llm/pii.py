@@ -63,7 +63,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The random field.  Labels: one of KINDS for a segment of up to MOST_TOKENS tokens, or "other" for one token.
 
-MOST_TOKENS, MOST_CHARS, MARGIN = 20, 48, 40
+MOST_TOKENS, MOST_CHARS = 20, 48
+MARGIN = MOST_CHARS  # a candidate holds its anchor, so it reaches no further from it
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 ANCHOR = re.compile(r"[0-9@]|[(\[{] ?(?:at|AT) ?[)\]}]")
 AT = re.compile(r"@| ?[(\[{] ?(?:at|AT) ?[)\]}] ?")
@@ -110,16 +111,30 @@ def span_features(text: str, start: int, end: int) -> list[list[int]] | None:
     return [on if kind in kinds else [] for kind in KINDS]
 
 
+def in_token(text: str, k: int) -> bool:
+    """Whether a cut before character k parts a token of letters or digits."""
+    pair = text[k - 1 : k + 1]
+    return 0 < k < len(text) and pair.isascii() and (pair.isalpha() or pair.isdigit())
+
+
 def islands(text: str) -> list[tuple[int, int]]:
-    """Stretches that can hold an entity: all others have one labelling, so the field splits there exactly."""
+    """Stretches that can hold an entity: all others have one labelling, so the field splits there exactly.
+
+    They begin and end at token edges.
+    """
     out: list[list[int]] = []
     for m in ANCHOR.finditer(text):
-        s, e = max(0, m.start() - MARGIN), m.end() + MARGIN
+        least = out[-1][1] if out else 0
+        s, e = max(0, m.start() - MARGIN), max(least, min(m.end() + MARGIN, len(text)))
+        while s > least and in_token(text, s):
+            s -= 1
+        while in_token(text, e):
+            e += 1
         if out and s <= out[-1][1]:
             out[-1][1] = e
         else:
             out.append([s, e])
-    return [(s, min(e, len(text))) for s, e in out]
+    return [(s, e) for s, e in out]
 
 
 def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], list[list[int]]]]:

@@ -69,6 +69,22 @@ def test_held_out_spans():
     assert hit / gold_n > 0.95 and hit / got_n > 0.93
 
 
+def test_islands_lose_no_candidate():
+    """Every candidate of a whole text is one of an island, with local parts as long as a segment can hold."""
+    rng = random.Random(6)
+    for n in range(30, 48):
+        for mail in (f"{'q' * n}@a.de", f"{'q' * n} [at] a.de", f"{'q' * (n - 9)}.{'z' * 8}@a.b.org", f"a@{'z' * (n - 8)}.{'y' * 5}"):
+            text = f"{'word ' * rng.randint(0, 20)}{mail} {'x' * rng.randint(0, 60)} {'more ' * 15}{'r' * rng.randint(1, 90)}, 12"
+            tokens, found = pii.segments(text, 0, len(text))
+            got = set()
+            for s, e in pii.islands(text):
+                part, some = pii.segments(text, s, e)
+                assert set(part) <= set(tokens)
+                got |= {(part[i][0], part[j][1]) for i, j in some}
+            assert got == {(tokens[i][0], tokens[j][1]) for i, j in found}, text
+    pii.islands("a" * 300_000 + "1" + "b" * 300_000 + "1a" * 100_000)  # linear, so this ends
+
+
 def test_query_columns(spark):
     text = "é bob@site.org and 10.0.0.1, bob (at) site (dot) org end"
     docs = spark.createDataFrame([(1, text, "c"), (2, None, "c"), (3, "", "c"), (None, "x", "c"), (1, text, "c")], "doc_id long, text string, spans string")
