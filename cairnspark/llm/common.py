@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,15 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
+    """Each name, with underscores added until no column has it; so what an operator adds replaces nothing."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as the empty text."""
     return F.translate(F.coalesce(col.cast("string"), F.lit("")), UPPER, LOWER)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, read from the session; only where it is unset (as in tests) is one made."""
+    """The folder of ``spark.checkpoint.dir``, read from the session; only where it is unset in local mode (as in tests) is one made."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
 
