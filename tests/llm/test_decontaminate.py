@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+
 from cairnspark.llm import decontaminate as dc
 
 
@@ -36,15 +38,49 @@ def test_matches_brute_force(spark):
                 assert got[k] == (*want, want[1] > 0), (k, text)
 
 
-def test_blocks_add_up(spark):
+def test_longest_match_and_its_place(spark):
+    """With blocks of 7 words items are cut, passes are chained, and the report stays the same."""
     docs, items = fixture(2)
+    docs = [d for d in docs if d[0] != 303] + [(303, dict(items)["long"] + " " + " ".join(f"u{k}" for k in range(20_000))), (304, "w3 nothing else"), (305, "nothing at all")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     benchmark = spark.createDataFrame(small(items), "item_id string, text string")
-    columns = ["doc_id", "cairn_words", "cairn_runs", "cairn_items", "cairn_longest"]
-    one = dc.match_benchmark(df, benchmark).select(*columns).orderBy("doc_id").collect()
-    many = dc.match_benchmark(df, benchmark, block_bytes=150).select(*columns).orderBy("doc_id").collect()
-    assert one == many
-    assert {r["doc_id"]: r["cairn_longest"] for r in one}[303] == 60
+    one = {r["doc_id"]: r for r in dc.decontamination_report(df, benchmark).collect()}
+    many = {r["doc_id"]: r for r in dc.decontamination_report(df, benchmark, block_words=60).collect()}
+    texts = {}
+    for name, text in small(items):
+        texts.setdefault(name, []).append(dc.words(text))
+    for k, text in docs:
+        assert one[k][:6] == many[k][:6]
+        for r in (one[k],) if k == 303 else (one[k], many[k]):
+            want = 60 if k == 303 else dc.longest_match(text, small(items))
+            assert r["longest"] == want or (r is many[k] and want > dc.WINDOW)  # a long match is given up to the end of its block
+            if r["longest"]:
+                piece = dc.words(text)[r["longest_at"] : r["longest_at"] + r["longest"]]
+                assert any(w[r["longest_item_at"] : r["longest_item_at"] + r["longest"]] == piece for w in texts[r["longest_item"]])
+    assert one[305]["longest_item"] is None and one[304]["longest"] == 1
+
+
+def test_more_distinct_words_than_a_block_holds():
+    words = [b"v%d" % k for k in range(2500)]
+    parts = list(dc.parts_of("i", words, 1000))
+    assert [(p.first, p.count, len(p.words)) for p in parts] == [(0, 1000, 1009), (1000, 1000, 1009), (2000, 500, 500)]
+    assert sum(len(dc.TestSuffixes.of([p]).low) for p in parts) == 2491
+
+
+def test_sql(spark):
+    sql = dc.ORACLE
+    for name in ("documents", "benchmark"):
+        sql = sql.replace(f"FROM {name}", f"FROM '/root/testdata/sf0.001/{name}.parquet'")
+    at = "/root/testdata/sf0.001"
+    out = dc.decontamination_report(*(spark.read.parquet(f"{at}/{n}.parquet") for n in ("documents", "benchmark"))).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(map(tuple, out)) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_clashing_columns(spark):
+    names = [*dc.ADDED, "s", "words"]
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k", *range(6)), (2, "clean", *range(6))], ["doc_id", "text", *names])
+    out = dc.decontaminate(df, spark.createDataFrame([("x", "a b c d e f g h i j")], "item_id string, text string"))
+    assert [tuple(r) for r in out.collect()] == [(2, "clean", *range(6))] and out.columns == df.columns
 
 
 def test_removal_keeps_clean_rows_and_columns(spark):
