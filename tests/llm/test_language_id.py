@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.llm import language_id as li
@@ -47,6 +48,46 @@ def test_phrases_match_brute_force():
         assert row.tolist() == [brute_phrases("".join(chr(c) if c else " " for c in li.folded(samples[k])), folded) for k in ("x", "y")]
 
 
+def test_long_texts_are_parsed_in_one_go(monkeypatch):
+    """Texts of many segments have the phrases of one parse, whether or not segments meet, with dense and listed letters."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 5)))
+    samples = {k: " ".join(word(letters) for _ in range(80)) for k, letters in (("x", "abcd"), ("y", "cdef"), ("z", "".join(chr(0x4E00 + k) for k in range(120))))}
+    whole = " ".join(word("abc") for _ in range(300))
+    samples["w"] = whole
+    texts = [" ".join(word("abcdefg" + chr(0x4E00 + rng.randrange(130))) for _ in range(rng.randint(1, 1500))) for _ in range(12)] + [whole[5:], "", "a" * 5000, whole * 3]
+    for segment, meet, dense in ((1024, 192, 96), (64, 16, 4), (50, 3, 0), (200, 200, 2)):
+        monkeypatch.setattr(li, "SEGMENT", segment)
+        monkeypatch.setattr(li, "MEET", meet)
+        total, size, _ = li.CrossParser(samples, dense).phrases(texts)
+        folds = lambda t: "".join(chr(c) if c else " " for c in li.folded(t))
+        assert size.tolist() == [len(folds(t)) for t in texts]
+        for t, row in zip(texts, total, strict=True):
+            assert row.tolist() == [brute_phrases(folds(samples[k]), folds(t)) for k in sorted(samples)]
+
+
+def test_scripts_of_many_letters():
+    """Two languages of 3,000 letters each, none in common, are told apart."""
+    rng = random.Random(4)
+    text = lambda first, n: " ".join("".join(chr(first + int(3000 * rng.random() ** 2)) for _ in range(3)) for _ in range(n))
+    parser = li.CrossParser({"a": text(0x4E00, 5000), "b": text(0x6000, 5000), "en": "the river and the stone " * 50})
+    assert parser.predict([text(0x4E00, 40), text(0x6000, 40), "a stone in the river"])[0] == ["a", "b", "en"]
+
+
+def test_clashing_columns_and_ties(spark):
+    docs = spark.createDataFrame([(k, "one two three", "xx" if k % 2 else "yy", "mine", 5) for k in range(9)] + [(9, "!!", "xx", "mine", 5)], "doc_id long, text string, lang string, cairn_lang string, CAIRN_SCORE int")
+    out = li.keep_known(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in docs.collect() if r["doc_id"] != 9)
+    same = li.CrossParser({"b": "abc abd", "a": "abc abd"})
+    assert same.predict(["abd abc"])[0] == ["a"]
+
+
+def test_too_many_languages(spark):
+    docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 5 values"):
+        li.language_id(docs, buckets=1, most_languages=5).count()
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = li.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
