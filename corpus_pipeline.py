@@ -6,7 +6,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairnspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
 from cairnspark.llm.common import shared_folder, table
@@ -16,7 +15,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in some learned language; null and letterless texts go."""
-    return language_id.with_language(docs).where(F.col("cairn_lang") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.keep_known(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
