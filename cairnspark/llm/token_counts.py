@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -15,33 +16,27 @@ from .common import per_batch
 class PieceTable:
     """Pieces of each distinct pre-token that a task has met; forgotten and begun anew beyond ``most`` entries."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        import regex
-
-        self.tokenizer, self.most, self.counts = bpe.library(path), most, {}
+    def __init__(self, path: str, classes: tuple, most: int = 400_000):
+        self.pieces, self.most, self.counts = bpe.fast(path)._encode_single_piece, most, {}
         self.special = bpe.special_tokens(path)
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.find = regex.compile(bpe.PRETOKEN).findall
-
-    def frequencies(self, text: str) -> Counter:
-        """How often each pre-token stands in the text; a special token's string is one pre-token."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return Counter(self.find(text))
-        out: Counter = Counter()
-        for part in self.cut.split(text):
-            out.update([part] if part in self.special else self.find(part))
-        return out
+        self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.pretokens = bpe.PreTokens(*classes)
+
+    def frequencies(self, texts: list[str]) -> list[Counter]:
+        """How often each pre-token stands in each text; a special token's string is one pre-token."""
+        if self.cut is None or not any(s in t for t in texts for s in self.special):
+            return list(map(Counter, self.pretokens.of(texts)))
+        parts = [self.cut.split(t) for t in texts]
+        plain = iter(self.pretokens.of([p for row in parts for p in row if p not in self.special]))
+        return [Counter(x for p in row for x in ([p] if p in self.special else next(plain))) for row in parts]
 
     def totals(self, texts: list[str]) -> list[int]:
         """Tokens of each text: distinct pre-tokens of these texts are looked up, new ones are encoded once."""
-        rows = [self.frequencies(t) for t in texts]
+        rows = self.frequencies(texts)
         new = set().union(*rows) - self.counts.keys()
         if len(self.counts) + len(new) > self.most:
             self.counts, new = {}, set().union(*rows)
-        todo = list(new)
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            self.counts.update(zip(part, (len(e) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        self.counts.update((t, 1 if t in self.special else len(self.pieces(t))) for t in new)
         of = self.counts
         return [sum(n * of[piece] for piece, n in row.items()) for row in rows]
 
@@ -63,12 +58,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     A narrow dependency: no row is shuffled, since documents times distinct pre-tokens would be several times the
     input.  The join of pre-token frequencies with piece counts is done where the frequencies arise, in each task,
     for a slice of texts at a time.  Null text counts as empty and has no tokens; null ids and repeated rows give
-    a row each; an empty table gives none.  A very long text is one slice.  Other columns are ignored.
+    a row each; an empty table gives none.  A very long text is a slice
+    of its own.  Files that aren't plain byte-level BPE are counted by their library text by text.
+    Other columns are ignored.
     """
-    native = bpe.is_byte_level(tokenizer_path)
+    classes = bpe.classes(tokenizer_path) if bpe.is_byte_level(tokenizer_path) else None
 
     def make():
-        totals = PieceTable(tokenizer_path).totals if native else whole_counts(tokenizer_path)
+        totals = PieceTable(tokenizer_path, classes).totals if classes else whole_counts(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column("text").to_pylist()

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -35,6 +37,43 @@ def test_whole_table(spark):
 
 def test_a_full_table_is_begun_anew():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    table = token_counts.PieceTable(path, most=5)
+    table = token_counts.PieceTable(path, bpe.classes(path), most=5)
     for text in ("one two three four", "five six seven eight nine ten", "one two"):
         assert table.totals([text, text]) == [len(bpe.library(path).encode(text).ids)] * 2
+
+
+BYTE = bpe.byte_of()
+
+
+def library_pretokens(path, text):
+    return [bytes(BYTE[c] for c in piece).decode() for piece, _ in bpe.library(path).pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_every_code_point_is_cut_as_the_library_cuts_it():
+    """Also those that Python's Unicode version doesn't know yet."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = bpe.PreTokens(*bpe.classes(path))
+    for low in range(0, 0x110000, 4096):
+        texts = [f"a{chr(c)}1{chr(c)}!{chr(c)}'s{chr(c)} {chr(c)}" for c in range(low, low + 4096) if not 0xD800 <= c < 0xE000]
+        assert cut.of(texts) == [library_pretokens(path, t) for t in texts]
+
+
+def test_random_texts_are_cut_as_the_library_cuts_them():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut, rng = bpe.PreTokens(*bpe.classes(path)), random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "'", "'s", "'ll", "'re", "'x", "a", "B", "é", "1", "!", "\u3000", "\0", "'t", "'ve", "'m", "'d", "s", "l", "\U000323b0"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 15))) for _ in range(20_000)] + [""] * 3
+    assert cut.of(texts) == [library_pretokens(path, t) for t in texts]
+    totals = token_counts.PieceTable(path, bpe.classes(path)).totals(texts)
+    assert totals == [len(e) for e in bpe.library(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_which_files_are_byte_level(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert bpe.is_byte_level(path) and not bpe.is_byte_level(public_tokenizers.path("word_bpe_49k.json"))
+    import json
+
+    other = json.loads(json.dumps(bpe.describe(path)))
+    other["model"]["merges"][5:7] = other["model"]["merges"][6:4:-1]
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    assert not bpe.is_byte_level(str(tmp_path / "other.json"))  # merged in another order than its ids
