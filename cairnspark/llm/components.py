@@ -59,20 +59,57 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition("u").sortWithinPartitions("u", "v")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def hot_keys(rows: DataFrame, one_in: int = 16, least: int = 64, most: int = 1000) -> list[tuple]:
+    """The u with the most rows in a sample by hash of v, ``most`` at the most.
+
+    The choice decides where rows go, not what comes out.
+    """
+    sample = rows.where(F.pmod(F.xxhash64("v"), F.lit(one_in)) == 0).groupBy("u").count().where(F.col("count") >= least)
+    return [(r["u"],) for r in sample.orderBy(F.desc("count"), "u").limit(most).collect()]
+
+
+def starred(rows: DataFrame, kind: str, hot: list[tuple], changed=None) -> DataFrame:
+    """The same edges as ``stars(grouped(rows), kind)``, with no task that reads all rows of a ``hot`` u.
+
+    All that a u needs is the least of its v.  For a hot one that is combined on the map side; its rows then stay
+    where they are and meet that one row by a broadcast, which has a row for each key in ``hot`` at the most.
+    """
+    if not hot:
+        return stars(grouped(rows), kind, changed)
+    session, node = rows.sparkSession, rows.schema["v"].dataType.simpleString()
+    named = F.broadcast(session.createDataFrame(hot, f"u {node}"))
+    ends = rows.join(named, "u", "left_semi").groupBy("u").agg(F.min("v").alias("first"), F.max("v").alias("last")).collect()
+    if changed is not None and any(r["first"] < r["u"] < r["last"] if kind == "large" else r["first"] != r["last"] for r in ends):
+        changed.add(1)
+    ends = session.createDataFrame([(r["u"], r["first"]) for r in ends], f"u {node}, first {node}")
+    own = rows.join(F.broadcast(ends), "u")
+    if kind == "large":
+        out = own.where("v > u").select(F.least("first", "u").alias("a"), F.col("v").alias("b"))
+    else:
+        out = own.where("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b"))
+        if kind == "small":
+            out = out.unionByName(ends.select(F.col("first").alias("a"), F.col("u").alias("b")))
+    return stars(grouped(rows.join(named, "u", "left_anti")), kind, changed).unionByName(out.distinct())
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, **sizes: int) -> DataFrame:
     """node and root for every node of ``edges`` (columns a, b) but the roots; a root is the least node of its component.
 
     Large-star and small-star operations in turn: the first ties a node's greater neighbours to its least one, the
     second its lesser ones; what stays the same in a round is one star for each component.  A round is two shuffles
-    of (node, node) rows, each reduced as a stream, so a node with very many edges takes no memory.
+    of (node, node) rows, each reduced as a stream; rows of hot nodes are not shuffled (see ``starred``).  A node
+    has no more rows in the second operation than in the first, so the hot ones of the first are enough.
     """
     edges = edges.where("a <> b")
     for _ in range(most_rounds):
         changed = edges.sparkSession.sparkContext.accumulator(0)
         both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
-        large = stars(grouped(both), "large", changed)
+        hot = hot_keys(both, **sizes)
+        large = starred(both, "large", hot, changed)
+        if hot:
+            large = durable(large)
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        edges = durable(stars(grouped(down), "small", changed))
+        edges = durable(starred(down, "small", hot, changed))
         if changed.value == 0:  # a task that ran twice can only raise it
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,12 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, per_batch, slices, spread_by_class
-from .components import connected_components, grouped, stars
+from .common import durable, fresh, slices, spread_by_class
+from .components import connected_components, hot_keys, starred
 
 SHINGLE = 3
 PERCENT = 90  # two sets link when 100 * intersection >= PERCENT * union
 SPARE = 3
+#: For sets that differ in so many shingles at the most: how many of all parts (and those that many more) are signed together.
+TOGETHER = {2: 3, 3: 3, 4: 2, 5: 2, 6: 2}
 SLICE_BYTES = 6_000_000
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -62,26 +65,67 @@ def bands(most: int) -> np.ndarray:
     return np.array([*out, out[-1] * 100 // PERCENT + 1, out[-1] * 2], np.int64)
 
 
-def part_signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of set parts such that sets that link share one: (set number, signature).
+def differ_most(n: int, m: int) -> int:
+    """How many shingles at most are in one of two sets of these sizes that link, and not in the other."""
+    return n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
 
-    Sets of sizes n and m that link differ in at most (n + m) * (100 - PERCENT) / (100 + PERCENT) shingles, D at
-    most over two neighbouring bands.  Shingles are dealt by hash into D + 1 + SPARE parts, so at least SPARE + 1
-    parts are the same in both.  A part of at most two shingles is light; a set leaves its light parts out if there
-    are at most SPARE of them, since then a part that is not light remains.
+
+def part_signatures(sets: list[np.ndarray], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of different sets such that sets that link share one: (set number, signature).
+
+    What of a set is signed should be so much that unrelated sets hardly share it.  D is the most that sets of two
+    neighbouring size bands that link can differ in.
+
+    * D = 1: one set is the other without one shingle, so the smaller one signs itself and the larger one itself
+      without each of its shingles in turn.  Sets of two sizes that can differ in nothing are one class anyway.
+    * D from 2 to 6: shingles are dealt by hash into D + k parts (k from TOGETHER), of which k at least are the same
+      in both; every k parts are signed together.
+    * Larger D: shingles are dealt into D + 1 + spare parts, each signed alone; spare + 1 at least are the same.  A
+      part of at most two shingles is light; a set leaves its light parts out if there are no more than spare of
+      them, since then a part that is not light remains.
     """
     size = np.array([len(s) for s in sets], np.int64)
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     least = bands(int(size.max(initial=1)))
     band = np.searchsorted(least, size, "right") - 1
     owner = np.repeat(np.arange(len(sets)), size)
-    spread, added = mixed(tokens ^ A), mixed(tokens + B)
+    start = np.cumsum(size) - size
+    salt = mixed(np.array([seed], np.uint64) * B + C)[0]
+    spread, added = mixed(tokens ^ A ^ salt), mixed(tokens + B)
     owners, found = [], []
+
+    def put(of: np.ndarray, total: np.ndarray, low: np.ndarray, number: np.ndarray) -> None:
+        owners.append(of)
+        found.append(mixed(total + mixed(low.astype(np.uint64) * C + number.astype(np.uint64) + salt)))
+
+    whole = np.zeros(len(sets), np.uint64)
+    np.add.at(whole, owner, added)
+    differs = (least[1:-1] + least[2:] - 2) * (100 - PERCENT) // (100 + PERCENT)  # D by the lower band
+    alone = [n for n in range(1, int(least[np.searchsorted(differs, 2)])) if 100 * n >= PERCENT * (n + 1) and differ_most(n, n + 1) == 1]
+    of = np.flatnonzero(np.isin(size, alone))
+    put(of, whole[of], -size[of], np.zeros(len(of)))
+    on = np.flatnonzero(np.isin(size, np.array(alone, np.int64) + 1)[owner])
+    put(owner[on], whole[owner[on]] - added[on], 1 - size[owner[on]], np.zeros(len(on)))
+
     for group in (band, band - 1):
         used = (group >= 0) & (size > 0)
         low = np.where(used, group, 0)
-        differ = (least[low + 1] + least[low + 2] - 2) * (100 - PERCENT) // (100 + PERCENT)
-        parts = np.where(used, np.where(differ == 0, 1, differ + 1 + SPARE), 0)
+        differ = differs[low]
+        for most, together in TOGETHER.items():
+            of = np.flatnonzero(used & (differ == most))
+            if not len(of):
+                continue
+            parts, row = most + together, np.full(len(sets), -1, np.int64)
+            row[of] = np.arange(len(of))
+            on = row[owner] >= 0
+            total = np.zeros(len(of) * parts, np.uint64)
+            np.add.at(total, row[owner[on]] * parts + (spread[on] % np.uint64(parts)).astype(np.int64), added[on])
+            choice = np.array(list(itertools.combinations(range(parts), together)))
+            total = total.reshape(-1, parts)[:, choice].sum(2, dtype=np.uint64)
+            put(np.repeat(of, len(choice)), total.ravel(), np.repeat(low[of], len(choice)), np.tile(np.arange(len(choice)), len(of)))
+        used &= differ > max(TOGETHER)
+        spare = SPARE + differ // 50
+        parts = np.where(used, differ + 1 + spare, 0)
         base = np.cumsum(parts) - parts
         on = used[owner]
         which = base[owner[on]] + (spread[on] % np.maximum(parts, 1).astype(np.uint64)[owner[on]]).astype(np.int64)
@@ -89,11 +133,9 @@ def part_signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(total, which, added[on])
         light = np.bincount(which, minlength=len(total)) <= 2
         of = np.repeat(np.arange(len(sets)), parts)
-        few = np.bincount(of, weights=light, minlength=len(sets)) <= SPARE
-        keep = ~(light & few[of] & (differ[of] > 0))
-        number = (np.arange(len(total)) - base[of]).astype(np.uint64)
-        owners.append(of[keep])
-        found.append(mixed(total + mixed(low[of].astype(np.uint64) * C + number))[keep])
+        few = np.bincount(of, weights=light, minlength=len(sets)) <= spare
+        keep = ~(light & few[of])
+        put(of[keep], total[keep], low[of[keep]], (np.arange(len(total)) - base[of])[keep])
     return np.concatenate(owners), np.concatenate(found)
 
 
@@ -228,38 +270,38 @@ def link_sets(sets: list[np.ndarray], label: np.ndarray | None = None, side: np.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n, class (the set's digest) and node (its first 64 bits) of docs(doc_id, text); its other columns follow."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-
-    def make():
-        known = WordHash()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t.as_py(), known) for t in batch.column("text")]
-            marks = [digest(s) for s in sets]
-            nodes = pa.array([int.from_bytes(m[:8], "big", signed=True) for m in marks], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), nodes, *(batch.column(c) for c in others)], ["doc_id", "n", "class", "node", *others])
-
-        return step
-
-    kinds = dict(docs.dtypes)
-    return per_batch(docs, ", ".join([f"doc_id {kinds['doc_id']}, n long, class binary, node long", *(f"{c} {kinds[c]}" for c in others)]), make)
+def set_table(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, n, class (the set's digest), node (its first 64 bits) and signatures of docs(doc_id, text); its other columns follow.
 
-
-def signature_table(docs: DataFrame) -> DataFrame:
-    """u (the signature), v (the node) for each part signature of each distinct set of a slice of docs(doc_id, text)."""
+    Signatures stand at the first row of each set in a slice of rows; other rows of it have none.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches):
         known = WordHash()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                sets = {digest(s): s for t in part.column("text") if len(s := shingle_set(t.as_py(), known))}
-                owner, found = part_signatures(list(sets.values()))
-                nodes = np.array([int.from_bytes(m[:8], "big", signed=True) for m in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(nodes[owner] if len(owner) else np.zeros(0, np.int64))], ["u", "v"])
+                sets = [shingle_set(t.as_py(), known) for t in part.column("text")]
+                marks = [digest(s) for s in sets]
+                first = {m: k for k, m in reversed(list(enumerate(marks)))}
+                chosen = [k for k, m in enumerate(marks) if len(sets[k]) and first[m] == k]
+                owner, found = part_signatures([sets[k] for k in chosen], seed)
+                order = np.argsort(owner, kind="stable")
+                count = np.zeros(len(sets) + 1, np.int64)
+                count[np.array(chosen, np.int64) + 1] = np.bincount(owner, minlength=len(chosen))
+                signatures = pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(found[order].view(np.int64)))
+                nodes = pa.array([int.from_bytes(m[:8], "big", signed=True) for m in marks], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), nodes, signatures, *(part.column(c) for c in others)], ["doc_id", "n", "class", "node", "signatures", *others])
+
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, n long, class binary, node long, signatures array<long>", *(f"`{c}` {kinds[c]}" for c in others)]))
 
-    return docs.mapInArrow(run, "u long, v long")
+
+def candidate_groups(sets: DataFrame) -> DataFrame:
+    """node, root for the nodes of a set_table that share signatures, directly or by others; a root is its own."""
+    rows = sets.select(F.explode("signatures").alias("u"), F.col("node").alias("v"))
+    groups = connected_components(starred(rows, "siblings", hot_keys(rows)))
+    return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
 
 def grouped_components(rows: DataFrame) -> DataFrame:
@@ -282,8 +324,8 @@ def grouped_components(rows: DataFrame) -> DataFrame:
             marks = list(unique)
             if len(marks) < 2:
                 return None
-            label, side = ([unique[m][k] for m in marks] for k in (1, 2))
-            links = link_sets(sets, np.array(label), np.array(side)) if label[0] is not None else link_sets(sets)
+            label, side = (None if unique[marks[0]][k] is None else np.array([unique[m][k] for m in marks]) for k in (1, 2))
+            links = link_sets(sets, label, side)
             return pa.RecordBatch.from_arrays([pa.array([marks[k] for _, k in links], pa.binary()), pa.array([marks[r] for r, _ in links], pa.binary())], ["class", "root"]) if links else None
 
         for batch in batches:
@@ -299,21 +341,24 @@ def grouped_components(rows: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "class binary, root binary")
 
 
-def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """class, root for the classes of docs(doc_id, text) that may link with another; ``sets`` is its set_table.
+def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
+    """class, root for the classes of docs(doc_id, text) that may link with another; ``wide`` is its set_table.
 
-    1. Part signatures bring sets that may link together; their stars give candidate groups.
+    1. Signatures bring sets that may link together; their stars give candidate groups.
     2. One text of each class goes to its group.  A group is cut into blocks of bounded size, each a signature tree
        that is traversed against itself.  A group of one block is done.
-    3. Groups of several blocks: the roots of all blocks meet; groups that are whole then are done.  In those left,
-       all pairs of blocks are traversed, passing over node pairs of one component.
+    3. Groups of several blocks: the roots of all blocks meet; groups that are whole then are done.  Sets of the
+       others are signed again with parts dealt by another hash: groups that chance had joined fall apart, and each
+       group that both signings agree on is traversed, all pairs of its blocks if it has several, passing over node
+       pairs of one component.
     """
-    groups = connected_components(stars(grouped(signature_table(docs)), "siblings"))
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    classes = sets.where("n > 0").groupBy("class", "node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    groups = candidate_groups(wide)
+    classes = wide.where("n > 0").groupBy("class", "node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     chosen = durable(classes.join(groups, "node").select("class", "doc_id", "n", F.col("root").alias("group")))
-    blocks = chosen.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    chosen = chosen.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        blocks = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        return rows.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
 
     def place(block: str, other) -> list:
         return ["doc_id", "class", F.struct("group", F.col(block).alias("block"), other.cast("long").alias("other")).alias("group")]
@@ -325,6 +370,7 @@ def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
         roots = found.select(F.col("class").alias("label"), F.col("root").alias("_root"))
         return rows.join(roots, "label", "left").withColumn("label", F.coalesce("_root", "label")).drop("_root")
 
+    chosen = blocked(chosen)
     found = grouped_components(chosen.select(*place("block", F.lit(-1)), *alone).join(docs, "doc_id"))
     now = durable(relabelled(chosen.withColumn("label", F.col("class")), found))
     out = now.where("blocks = 1").select("class", F.col("label").alias("root"))
@@ -338,12 +384,15 @@ def set_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     heads = heads.join(meets, "group").withColumn("meet", F.pmod(F.xxhash64("class", F.lit(1)), F.col("meets")))
     large = durable(relabelled(large, grouped_components(heads.select(*place("meet", F.lit(-2)), *alone).join(texts, "doc_id"))))
     split = large.groupBy("group").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("group")
-    left = large.join(split, "group", "left_semi")
+    left = large.join(split, "group", "left_semi").select("class", "doc_id", "n", "label", "group")
     if left.isEmpty():
         return out.unionByName(large.select("class", F.col("label").alias("root")))
-    pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
-    pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    joined = grouped_components(pairs.select(*place("low", F.col("high")), "label", F.col("block").alias("side")).join(texts, "doc_id"))
+    again = candidate_groups(durable(set_table(left.select("doc_id").distinct().join(texts, "doc_id"), seed=1)))
+    left = left.withColumn("node", F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")).join(again, "node")
+    left = durable(blocked(left.select("class", "doc_id", "n", "label", F.struct("group", "root").alias("group"))))
+    pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.when(F.col("block") != F.col("other"), F.col("block"))})
+    joined = grouped_components(pairs.select(*place("low", F.col("high")), "label", "side").join(texts, "doc_id"))
     edges = joined.select(F.col("root").alias("a"), F.col("class").alias("b")).unionByName(large.select(F.col("label").alias("a"), F.col("class").alias("b")))
     roots = connected_components(edges).withColumnRenamed("node", "class")
     return out.unionByName(large.select("class").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root")))
@@ -367,8 +416,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def joined(rows: DataFrame, hot_share: float = 0.001) -> DataFrame:
     """The Jaccard join of rows(doc_id, text), whose other columns are carried along."""
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
-    sets = durable(set_table(rows))
-    roots = set_components(rows.select("doc_id", "text"), sets)
+    wide = durable(set_table(rows))
+    sets = durable(wide.drop("signatures"))
+    roots = set_components(rows.select("doc_id", "text"), wide)
     members = sets.where("n > 0")
     total = members.count()
     hot = lambda frame, key: frame.groupBy(key).count().where(F.col("count") >= max(2.0, total * hot_share)).select(key)
@@ -383,12 +433,29 @@ def joined(rows: DataFrame, hot_share: float = 0.001) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of its component_id.
+    """``docs`` with one document of each component, that of its component_id, with all its own columns, whatever their names.
 
     A row goes by its id and text, so an id that stands on several texts can lose one and keep another.  Rows with a
     null id all stay, as do repeated rows of an id that stays.
     """
     mark = F.unhex(F.sha2(F.col(text_col).cast("string"), 256))
-    found = joined(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("cairn_mark")))
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("cairn_dropped"), "cairn_mark")
-    return docs.join(dropped, (F.col(id_col) == F.col("cairn_dropped")) & (mark == F.col("cairn_mark")), "left_anti")
+    drop_id, drop_mark = fresh(docs.columns, "cairn_drop_id", "cairn_drop_mark")
+    found = joined(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark")))
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(drop_id), F.col("mark").alias(drop_mark))
+    return docs.join(dropped, (F.col(id_col) == F.col(drop_id)) & (mark == F.col(drop_mark)), "left_anti")
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda k: array_to_string(list_slice(w, k, k + {SHINGLE - 1}), ' ')))) END AS sh FROM d),
+c AS (SELECT row_number() OVER () AS c, sh, len(sh) AS n, min(doc_id) AS least FROM s WHERE len(sh) > 0 GROUP BY sh),
+e AS (SELECT c, n, unnest(sh) AS x FROM c),
+l AS (SELECT a.c AS a, b.c AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.c <> b.c AND 100 * a.n >= {PERCENT} * b.n AND 100 * b.n >= {PERCENT} * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+k AS (SELECT reach.a AS c, min(c.least) AS component_id FROM reach JOIN c ON reach.b = c.c GROUP BY reach.a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE k.component_id END AS component_id
+FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN k ON c.c = k.c
+"""

@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op8_decontamination": decontaminate.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op8_decontamination": decontaminate.ORACLE}

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -108,18 +109,67 @@ def test_link_sets_joins_what_all_pairs_join():
 
 def test_signatures_lose_no_link():
     rng = random.Random(4)
-    for n in [*range(1, 40), 100, 333, 1000]:
-        for _ in range(8):
+    for n in [*range(1, 75), 100, 333, 1000, 4000]:
+        for seed in range(8):
             a = set(rng.sample(range(10**6), n))
             b = set(a)
             for _ in range(rng.randint(0, n // 9 + 1)):
                 (b.discard(rng.choice(sorted(b))) if rng.random() < 0.6 and len(b) > 1 else b.add(rng.randrange(10**6)))
-            if 100 * len(a & b) >= 90 * len(a | b):
+            if a != b and 100 * len(a & b) >= 90 * len(a | b):
                 sets = [np.sort(jj.mixed(np.array(sorted(s), np.uint64))) for s in (a, b)]
-                owner, sig = jj.part_signatures(sets)
+                owner, sig = jj.part_signatures(sets, seed)
                 assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+def test_unrelated_short_texts_stay_apart(spark):
+    """Texts of 8 to 30 common words share few signatures, however many they are."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 14) if k % 2 else rng.randint(15, 30)))) for k in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = jj.set_table(docs).persist()
+    sizes = jj.candidate_groups(sets).groupBy("root").count().agg(F.max("count"), F.sum("count")).first()
+    sets.unpersist()
+    assert (sizes[0] or 0) < 20 and (sizes[1] or 0) < 400
+
+
+def test_groups_that_chance_joined_fall_apart(spark, monkeypatch):
+    """With all sets in one group at first, the second signing and the trees below it do the work."""
+    rows = corpus(6, families=4, copies=9, length=50)
+    real, calls = jj.candidate_groups, []
+
+    def one_group(sets):
+        calls.append(sets)
+        return real(sets) if len(calls) > 1 else sets.where("n > 0").select("node", F.lit(5).cast("long").alias("root")).distinct()
+
+    monkeypatch.setattr(jj, "candidate_groups", one_group)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 5)
+    assert run(spark, rows) == brute_force(rows) and len(calls) == 2
+
+
+def test_very_long_texts_and_exact_limits(spark):
+    rng = random.Random(7)
+    long = [f"v{rng.randrange(50_000)}" for _ in range(30_000)]
+    other = [w if rng.random() > 0.01 else "changed" for w in long]
+    twenty = [f"t{k}" for k in range(22)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:20_000])), (4, " ".join(twenty)), (5, " ".join(twenty[:20])), (6, " ".join(twenty[:21])), (7, " ".join(twenty[:11])), (8, " ".join(twenty[:12]))]
+    assert run(spark, rows) == brute_force(rows)
+
+
+def test_sql(spark):
+    for name in ("sf0.001",):
+        sql = jj.ORACLE.replace("FROM documents", f"FROM '/root/testdata/{name}/documents.parquet'")
+        out = jj.jaccard_join(spark.read.parquet(f"/root/testdata/{name}/documents.parquet"))
+        assert sorted(map(tuple, out.collect())) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_clashing_columns(spark):
+    names = ["cairn_drop_id", "CAIRN_DROP_MARK", "mark", "class", "signatures"]
+    docs = spark.createDataFrame([(1, "a b c", *names), (2, "A b c", *names), (3, "x", *names)], ["doc_id", "text", *names])
+    out = jj.keep_one(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a b c", *names), (3, "x", *names)]
+
+
 def test_empty_table_nulls_and_repeats(spark):
     assert run(spark, []) == []
     out = jj.jaccard_join(spark.createDataFrame([(None, "a b c d"), (None, None), (5, "q r s"), (5, "q r s"), (5, "z"), (3, "Q R S")], "doc_id long, text string")).collect()
