@@ -59,37 +59,50 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition("u").sortWithinPartitions("u", "v")
 
 
-def hot_keys(rows: DataFrame, one_in: int = 16, least: int = 64, most: int = 1000) -> list[tuple]:
+def hot_keys(rows: DataFrame, one_in: int = 16, least: int = 24, most: int = 1000) -> list:
     """The u with the most rows in a sample by hash of v, ``most`` at the most.
 
     The choice decides where rows go, not what comes out.
     """
     sample = rows.where(F.pmod(F.xxhash64("v"), F.lit(one_in)) == 0).groupBy("u").count().where(F.col("count") >= least)
-    return [(r["u"],) for r in sample.orderBy(F.desc("count"), "u").limit(most).collect()]
+    return [plain(r["u"]) for r in sample.orderBy(F.desc("count"), "u").limit(most).collect()]
 
 
-def starred(rows: DataFrame, kind: str, hot: list[tuple], changed=None) -> DataFrame:
+def plain(value):
+    return bytes(value) if isinstance(value, bytearray) else value
+
+
+def starred(rows: DataFrame, kind: str, hot: list, changed=None) -> DataFrame:
     """The same edges as ``stars(grouped(rows), kind)``, with no task that reads all rows of a ``hot`` u.
 
     All that a u needs is the least of its v.  For a hot one that is combined on the map side; its rows then stay
-    where they are and meet that one row by a broadcast, which has a row for each key in ``hot`` at the most.
+    where they are and meet that least v there.  What goes to the tasks has a value for each key in ``hot``.
     """
     if not hot:
         return stars(grouped(rows), kind, changed)
-    session, node = rows.sparkSession, rows.schema["v"].dataType.simpleString()
-    named = F.broadcast(session.createDataFrame(hot, f"u {node}"))
-    ends = rows.join(named, "u", "left_semi").groupBy("u").agg(F.min("v").alias("first"), F.max("v").alias("last")).collect()
+    is_hot, node = F.col("u").isin(hot), rows.schema["v"].dataType.simpleString()
+    ends = rows.where(is_hot).groupBy("u").agg(F.min("v").alias("first"), F.max("v").alias("last")).collect()
     if changed is not None and any(r["first"] < r["u"] < r["last"] if kind == "large" else r["first"] != r["last"] for r in ends):
         changed.add(1)
-    ends = session.createDataFrame([(r["u"], r["first"]) for r in ends], f"u {node}, first {node}")
-    own = rows.join(F.broadcast(ends), "u")
-    if kind == "large":
-        out = own.where("v > u").select(F.least("first", "u").alias("a"), F.col("v").alias("b"))
-    else:
-        out = own.where("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b"))
-        if kind == "small":
-            out = out.unionByName(ends.select(F.col("first").alias("a"), F.col("u").alias("b")))
-    return stars(grouped(rows.join(named, "u", "left_anti")), kind, changed).unionByName(out.distinct())
+    keys, firsts = [plain(r["u"]) for r in ends], [plain(r["first"]) for r in ends]
+
+    def run(batches):
+        kept_keys = kept_firsts = None
+        for batch in batches:
+            u, v = batch.column(0), batch.column(1)
+            if kept_keys is None:
+                kept_keys, kept_firsts = pa.array(keys, u.type), pa.array(firsts, v.type)
+            first = kept_firsts.take(pc.index_in(u, value_set=kept_keys))
+            if kind == "large":
+                mask, first = pc.greater(v, u), pc.if_else(pc.less(first, u), first, u)
+            else:
+                mask = pc.not_equal(v, first)
+            yield pa.RecordBatch.from_arrays([first.filter(mask), v.filter(mask)], ["a", "b"])
+
+    out = rows.where(is_hot).select("u", "v").mapInArrow(run, f"a {node}, b {node}").distinct()
+    if kind == "small":
+        out = out.unionByName(rows.sparkSession.createDataFrame(list(zip(firsts, keys, strict=True)), f"a {node}, b {node}"))
+    return stars(grouped(rows.where(~is_hot)), kind, changed).unionByName(out)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60, **sizes: int) -> DataFrame:

@@ -300,7 +300,7 @@ def set_table(docs: DataFrame, seed: int = 0) -> DataFrame:
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """node, root for the nodes of a set_table that share signatures, directly or by others; a root is its own."""
     rows = sets.select(F.explode("signatures").alias("u"), F.col("node").alias("v"))
-    groups = connected_components(starred(rows, "siblings", hot_keys(rows)))
+    groups = connected_components(durable(starred(rows, "siblings", hot_keys(rows))))
     return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
 
