@@ -65,7 +65,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     at most one group that is smaller than the others, whose windows can be shorter than ``capacity``.
 
     Null text counts as empty and packs its end id alone.  Null ids and repeated rows are documents of their own;
-    an empty table gives no rows.  Other columns are ignored.
+    an empty table gives no rows.  A very long text is encoded whole and held by one task.  Of pieces of equal size
+    the one that was read first is merged first.  Other columns are ignored.
     """
     native = bpe.is_byte_level(tokenizer_path)
     fields = (*FIELDS, *((("ids", pa.binary()),) if keep_ids else ()))

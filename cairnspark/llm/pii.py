@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import random
 import re
@@ -277,11 +279,13 @@ def added_spans(text: str, field: Field, taken: list[tuple[str, int, int]]) -> l
     """Entities of the field's best labelling that overlap no base span."""
     out = []
     busy = sorted((s, e) for _, s, e in taken)
+    begins, ends = [s for s, _ in busy], list(itertools.accumulate((e for _, e in busy), max))
     for start, end in islands(text):
         tokens, found = segments(text, start, end)
         for i, j, k in field.best(len(tokens), field.scores(found)) if found else ():
             s, e = tokens[i][0], tokens[j][1]
-            if not any(a < e and s < b for a, b in busy):
+            before = bisect.bisect_left(begins, e)  # base spans that begin before this one ends
+            if not before or ends[before - 1] <= s:
                 out.append((KINDS[k], s, e))
     return out
 
@@ -289,7 +293,9 @@ def added_spans(text: str, field: Field, taken: list[tuple[str, int, int]]) -> l
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (kind, start, end, base) for every row of ``docs``, in code points, end exclusive.
 
-    Spans are ordered by kind as listed in KINDS, then start.  Null and empty texts have none; null ids and repeated
+    Spans are ordered by kind as listed in KINDS, then start.  Besides the plain patterns, whose matches have no
+    bound, the field adds entities of at most MOST_TOKENS tokens and MOST_CHARS characters that overlap no plain
+    match; of labellings of equal score it takes the one with fewer and then the later entities.  Null and empty texts have none; null ids and repeated
     rows give a row each; an empty table gives none.  Texts are read whole.  Other columns are ignored.
     """
     field = Field(trained().weights)

@@ -135,14 +135,23 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, step: flo
         z[found[tests], k] = 1
     centre = z.mean(0)
     spread = np.maximum(z.std(0), 1e-3)
-    z = (z - centre) / spread
-    square, top = z.T @ z / len(y), np.ones(len(names), np.float32)
+    w, b = lasso((z - centre) / spread, y, penalty, rounds)
+    scaled = (w / spread).astype(float)
+    return Ensemble(float(b - (scaled * centre).sum()), tuple((names[k], float(scaled[k])) for k in np.flatnonzero(np.abs(w) > 1e-6)))
+
+
+def lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, np.float32]:
+    """Weights and intercept of least mean logistic loss plus ``penalty`` times the sum of the weights' sizes."""
+    share = y.mean()
+    w, b = np.zeros(z.shape[1], np.float32), np.float32(math.log(share / (1 - share)))
+    if not len(w):
+        return w, b
+    square, top = z.T @ z / len(y), np.ones(len(w), np.float32)
     for _ in range(30):
         top = square @ top
         top /= np.linalg.norm(top)
     lip = np.float32(0.25 * (1.1 * top @ square @ top + 1))  # the logistic loss is at most this steep in its slope
     y = y.astype(np.float32)
-    w, b = np.zeros(len(names), np.float32), np.float32(math.log(share / (1 - share)))
     ahead_w, ahead_b, t = w, b, 1.0
     for _ in range(rounds):
         error = (1 / (1 + np.exp(-(z @ ahead_w + ahead_b))) - y).astype(np.float32)
@@ -153,15 +162,19 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, step: flo
         go = np.float32((t - 1) / new_t)
         ahead_w, ahead_b = new_w + go * (new_w - w), new_b + go * (new_b - b)
         w, b, t = new_w, new_b, new_t
-    scaled = (w / spread).astype(float)
-    return Ensemble(float(b - (scaled * centre).sum()), tuple((names[k], float(scaled[k])) for k in np.flatnonzero(np.abs(w) > 1e-6)))
+    return w, b
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int) -> Ensemble:
-    """Fit on ``most`` labelled rows at the most, drawn by a hash of the id; those ids alone are broadcast."""
+    """Fit on ``most`` rows at the most: labelled ids drawn by a hash, of rows of one id and label the least text.
+
+    The drawn ids alone are broadcast, and the driver gets a row of statistics for each of them.
+    """
     allowed = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0, F.lit(False))
-    drawn = labels.where(allowed & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("cairn_label")).orderBy(F.xxhash64("doc_id"), "doc_id", "cairn_label").limit(most)
-    rows = with_statistics(docs.join(F.broadcast(drawn), "doc_id")).orderBy("doc_id", "cairn_label").toPandas()
+    drawn = labels.where(allowed & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("cairn_label")).distinct()
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "cairn_label").limit(most)
+    rows = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "cairn_label").agg(F.min("text").alias("text"))
+    rows = with_statistics(rows).toPandas().sort_values(["doc_id", "cairn_label"])
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["cairn_label"].to_numpy(float))
 
 
@@ -169,7 +182,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Only text makes a score; null text counts as empty and is scored like any other.  Null ids are neither held out
-    nor learned from; null labels are left out; repeated rows give a row each; an empty table gives none.  Without
+    nor learned from; null labels are left out; of rows of one id one is learned from for each of its labels; repeated
+    rows give a row each, with equal scores for equal texts; an empty table gives none.  Very long texts are read
+    whole.  Of splits of equal gain the first statistic and the least cut are taken.  Without
     labels, or with one class of them, the score is the smoothed share of label 1.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import hashlib
 import lzma
@@ -320,8 +321,12 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     spot = np.arange(len(text) + 1, dtype=np.int32)
     work, seen, out = [Layer(text, spot[:-1], spot[1:])], set(), set()
 
+    begins = {kind: [s for k, s, _ in base if k == kind] for kind in KINDS}  # spans of a kind don't overlap
+    ends = {kind: [e for k, _, e in base if k == kind] for kind in KINDS}
+
     def add(kind: str, s: int, e: int) -> None:
-        if not any(k == kind and a <= s and e <= b for k, a, b in base):
+        at = bisect.bisect_right(begins[kind], s) - 1
+        if at < 0 or ends[kind][at] < e:
             out.add((kind, s, e))
 
     while work:

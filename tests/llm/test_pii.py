@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 
@@ -100,3 +101,21 @@ def test_query_columns(spark):
     assert all(r["spans"] == "" and r["n_ip"] == 0 for r in rows if r["doc_id"] != 1)
     assert pii.find_pii(docs.where("false")).count() == 0
     assert list(itertools.islice(pii.islands("plain"), 1)) == []
+
+
+def test_a_very_long_text_and_equal_scores(spark):
+    text = "word " * 300_000 + "jo (at) mail (dot) com and a@b.de " + "x" * 200_000 + " 10.0.0.1"
+    rows = pii.find_pii(spark.createDataFrame([(1, text), (2, text), (2, None)], "doc_id long, text string")).collect()
+    found = [[(s["kind"], s["base"]) for s in r["spans"]] for r in rows]
+    assert found[0] == found[1] == [("email", False), ("email", True), ("ip", True)] and found[2] == []
+    flat = pii.Field(np.zeros_like(pii.trained().weights))  # every labelling scores the same: the one without entities is taken
+    assert pii.added_spans("call 555-123-4567 now", flat, []) == []
+
+
+def test_many_spans_take_linear_time():
+    text = " ".join(f"u{k}@mail.com 10.0.{k % 200}.1 (at) " for k in range(4000))
+    began = time.process_time()
+    base = pii.base_spans(text)
+    assert len(base) == 8000
+    pii.added_spans(text, pii.trained(), base)
+    assert time.process_time() - began < 60

@@ -7,6 +7,7 @@ import lzma
 import random
 import re
 import tarfile
+import time
 import urllib.parse
 import zlib
 
@@ -178,3 +179,17 @@ def test_query_columns(spark):
     assert first[0]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     assert first[0]["spans"] == ",".join([base.split(",")[0], f"assign:{at}:{at + len(wrapped)}", base.split(",")[1]])
     assert ss.find_secrets(docs.where("false")).count() == 0
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    text = " ".join(f"password=hunter2{k:06d} {base64.b64encode(b'token=abcdef%06d' % k).decode()}" for k in range(4000))
+    began = time.process_time()
+    base = ss.base_spans(text)
+    assert len(base) >= 4000 and len(ss.added_spans(text, base)) == 4000
+    assert time.process_time() - began < 20
+
+
+def test_a_very_long_text(spark):
+    text = "words and more " * 200_000 + base64.b64encode(b"password=hunter2hunter2").decode() + " end"
+    (row,) = ss.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s["kind"], s["base"]) for s in row["spans"]] == [("assign", False)] and row["spans"][0]["start"] >= 3_000_000
