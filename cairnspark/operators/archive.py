@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..functions import text as T
-from ..sources import bundle, container, filetree
+from ..sources import bundle, container, filetree, logs
 from . import codec, manifest
 
 
@@ -22,6 +25,7 @@ class GuardError(ValueError):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the archive source answers terms itself
     spark.dataSource.register(bundle.Bundle)
     spark.dataSource.register(filetree.FileTree)
 
@@ -30,14 +34,36 @@ def walked(spark: SparkSession, root: str, allow_system: bool = False) -> tuple[
     """Kept entries with their position in walk order, and skipped paths.
 
     Positions are given before anything is dropped, so the ids of kept entries have gaps where paths were skipped.
-    The order is that of path components.  Only narrow metadata rows are ordered.
+    The order is that of path components, in which each task walks its part of the tree; a position is a row's place
+    in its part behind the rows of the parts before it, so only the sizes of the parts are summed in one task.
     """
     register(spark)
     rows = spark.read.format("filetree").option("allow_system", str(allow_system).lower()).load(root)
-    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long") - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    rows = rows.join(parts, "part").withColumn("position", F.col("_before") + F.col("nth")).drop("_before", "part", "nth")
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL").select("path", "reason")
 
 
+def walked_all(spark: SparkSession, roots: list[str], allow_system: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The trees of several inputs, one behind the other; an archive path that two of them would have is an error."""
+    names = [os.path.basename(os.path.abspath(r)) for r in roots]
+    if len({*names}) < len(names):
+        raise GuardError(f"two inputs are named {max(names, key=names.count)!r}")
+    kept = skipped = None
+    for root in roots:
+        rows, left = walked(spark, root, allow_system)
+        if kept is None:
+            kept, skipped = rows, left
+            continue
+        after = kept.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("_after"))
+        kept = kept.unionByName(rows.join(F.broadcast(after)).withColumn("position", F.col("position") + F.col("_after")).drop("_after"))
+        skipped = skipped.unionByName(left)
+    if kept is None or kept.isEmpty():
+        raise GuardError("nothing to pack")
+    return kept, skipped
+
+
 def contents(rows: DataFrame, accept_changing: bool = False) -> DataFrame:
     """``rows`` with content and changed; a file is read in a task and stated before and after.
 
@@ -67,28 +93,105 @@ def contents(rows: DataFrame, accept_changing: bool = False) -> DataFrame:
     return out if accept_changing else out.withColumn("content", F.when(~F.col("changed"), F.col("content")))
 
 
-def pack(spark: SparkSession, root: str, archive: str, created_at: str = "", dedup: bool = True, indexed: bool = True, allow_system: bool = False, overwrite: bool = False, archive_id: str | None = None) -> DataFrame:
-    """Write an archive of a tree; returns the skipped paths.  Each distinct payload is compressed once."""
-    if os.path.abspath(archive).startswith(os.path.abspath(root) + os.sep):
-        raise GuardError("the archive would lie inside its own input")
-    rows, skipped = walked(spark, root, allow_system)
-    full = contents(rows).cache()
-    lost = full.where("content IS NULL").select("path", F.when(F.col("changed"), "changed").otherwise("vanished").alias("reason"))
-    full = full.where("content IS NOT NULL").withColumns({"size": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256)})
-    entries = manifest.entries(full, indexed).join(full.select("position", "content", "mode", "mtime_ns", "target"), "position")
-    layout = manifest.chunk_layout(entries, dedup)
-    owned = codec.compress(layout.where("dedup_of IS NULL").select("position", "content", "requested_method", "codec"))
-    words = F.make_valid_utf8(F.col("content").cast("string"))
-    text = F.when(F.col("searchable"), words)
-    out = layout.drop("codec", "stored_size").join(owned.select("position", "codec", "stored_size", "payload"), "position", "left")
-    out = out.withColumns({"excerpt": T.excerpt(text), "terms": F.when(F.col("searchable"), T.terms(F.col("path"), text))})
-    writer = out.select(*bundle.names(bundle.WRITE)).write.format("bundle").mode("overwrite" if overwrite else "append").option("created_at", created_at).option("index", str(indexed).lower()).option("dedup", str(dedup).lower())
-    (writer.option("archive_id", archive_id) if archive_id else writer).save(archive)
-    out = spark.createDataFrame([tuple(r) for r in skipped.unionByName(lost).collect()], "path string, reason string")
-    full.unpersist()
+def inside(path: str, folder: str) -> bool:
+    """Whether a path lies in a folder, once links are followed."""
+    return os.path.realpath(path).startswith(os.path.realpath(folder) + os.sep)
+
+
+def free_backup(path: str, stamp: str | None = None) -> str:
+    """Where what is at ``path`` is kept before it is replaced: a stamp of the time, and a number if that is taken."""
+    stamp = stamp or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
+    for n in itertools.count():
+        name = f"{path}.backup-{stamp}{f'-{n}' if n else ''}"
+        if not os.path.lexists(name):
+            return name
+
+
+def back_up(path: str, stamp: str | None = None) -> str | None:
+    """Copy what is at ``path`` beside it; None if nothing is there."""
+    if not os.path.lexists(path):
+        return None
+    name = free_backup(path, stamp)
+    shutil.copy2(path, name, follow_symlinks=False)
+    return name
+
+
+def size_warnings(raw_bytes: int, packed_bytes: int | None, most_bytes: int | None) -> list[str]:
+    """What is to be said of an archive's sizes: over the limit before or after packing, or no smaller than its input."""
+    out = []
+    if most_bytes is not None and raw_bytes > most_bytes:
+        out.append(f"the input has {raw_bytes} bytes, over the limit of {most_bytes}")
+    if packed_bytes is not None and most_bytes is not None and packed_bytes > most_bytes:
+        out.append(f"the archive has {packed_bytes} bytes, over the limit of {most_bytes}")
+    if packed_bytes is not None and packed_bytes > raw_bytes:
+        out.append(f"the archive is {packed_bytes - raw_bytes} bytes larger than its input")
     return out
 
 
+@dataclass
+class Packed:
+    """What packing did; ``changing`` counts files that changed while they were read."""
+
+    skipped: DataFrame
+    record: dict
+    warnings: list[str]
+    changing: int
+    backup: str | None
+
+
+def pack_all(spark: SparkSession, roots: list[str], archive: str, created_at: str = "", dedup: bool = True, indexed: bool = True, allow_system: bool = False, overwrite: bool = False, archive_id: str | None = None, accept_changing: bool = False, most_bytes: int | None = None, force: bool = False, on_record: Callable[[dict], None] | None = None, log: str | None = None, project: str | None = None) -> Packed:
+    """Write an archive of trees.  Each distinct payload is compressed once, and no content is kept between passes.
+
+    A first pass over the files gives sizes and digests, a second one payloads; a file whose digest is another by
+    then ends the job.  Input over ``most_bytes`` is refused unless ``force``.  An archive that is overwritten has a
+    backup first.  The savings record goes to ``on_record`` and is appended to ``log``.
+    """
+    if any(inside(archive, root) for root in roots):
+        raise GuardError("the archive would lie inside its own input")
+    if os.path.lexists(archive) and not overwrite:
+        raise GuardError(f"{archive} exists")
+    rows, skipped = walked_all(spark, roots, allow_system)
+    read = contents(rows, accept_changing).withColumns({"size": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256), "lost": F.col("content").isNull()}).drop("content").cache()  # metadata only
+    try:
+        totals = read.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("raw"), F.count_if("changed").alias("changing")).first()
+        if not force and (over := size_warnings(totals["raw"], None, most_bytes)):
+            raise GuardError(over[0])
+        lost = read.where("lost").select("path", F.when(F.col("changed"), "changed").otherwise("vanished").alias("reason"))
+        full = read.where("NOT lost")
+        entries = manifest.entries(full, indexed).join(full.select("position", "source", "mode", "mtime_ns", "target"), "position")
+        layout = manifest.chunk_layout(entries, dedup)
+        again = contents(layout.where("dedup_of IS NULL OR searchable"), accept_changing=True)
+        same = F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(F.raise_error(F.concat("path", F.lit(" changed while it was packed"))))
+        again = again.withColumn("content", same)
+        words = F.make_valid_utf8(F.col("content").cast("string"))
+        text = F.when(F.col("searchable"), words)
+        again = again.withColumns({"excerpt": T.excerpt(text), "terms": F.when(F.col("searchable"), T.terms(F.col("path"), text)), "owns": F.col("dedup_of").isNull()})
+        again = codec.compress(again.withColumn("content", F.when(F.col("owns"), F.col("content"))).select("position", "requested_method", "codec", "excerpt", "terms", "owns", "content"))
+        again = again.select("position", "excerpt", "terms", *(F.when(F.col("owns"), F.col(c)).alias(c) for c in ("codec", "stored_size", "payload")))
+        out = layout.drop("codec", "stored_size").join(again, "position", "left")
+        backup = back_up(archive)
+        writer = out.select(*bundle.names(bundle.WRITE)).write.format("bundle").mode("overwrite" if overwrite else "append").option("created_at", created_at).option("index", str(indexed).lower()).option("dedup", str(dedup).lower())
+        (writer.option("archive_id", archive_id) if archive_id else writer).save(archive)
+        gone = skipped.unionByName(lost)
+        register(spark)
+        header, document, _ = container.read_archive(archive)
+        raw, packed = document["raw_bytes"], header["archive_size"]
+        record = {"operation": "pack", "archive": os.path.basename(archive), "disk": "local", "project": project, "raw_bytes": raw, "packed_bytes": packed, "saved_bytes": raw - packed, "saved_pct": round((raw - packed) / raw * 100, 2) if raw else 0.0, "methods": document["methods"]}
+        if on_record:
+            on_record(record)
+        if log:
+            logs.append(spark.createDataFrame([record], logs.SAVINGS), log)
+        out = spark.createDataFrame([tuple(r) for r in gone.collect()], "path string, reason string")
+        return Packed(out, record, size_warnings(raw, packed, most_bytes), totals["changing"], backup)
+    finally:
+        read.unpersist()
+
+
+def pack(spark: SparkSession, root: str, archive: str, **options) -> DataFrame:
+    """Write an archive of one tree; returns the skipped paths."""
+    return pack_all(spark, [root], archive, **options).skipped
+
+
 def section(spark: SparkSession, archive: str, name: str) -> DataFrame:
     register(spark)
     return spark.read.format("bundle").option("section", name).load(archive)
@@ -100,12 +203,17 @@ def restore_plan(spark: SparkSession, archive: str) -> DataFrame:
     return section(spark, archive, "entries").select("path", "kind", "size", "codec", step.alias("step"), F.size(F.split("path", "/")).alias("depth")).orderBy("step", F.desc("depth"), F.split("path", "/"))
 
 
-def restore(spark: SparkSession, archive: str, folder: str, apply: bool = False, metadata: bool = True) -> list[str]:
+def restore(spark: SparkSession, archive: str, folder: str, apply: bool = False, metadata: bool = True, allow_system: bool = False) -> list[str]:
     """Restore an archive into a folder that doesn't exist yet; without ``apply`` nothing is written.
 
+    An archive that is reached by a link, and a target below a protected or system path, are refused.
     Returns warnings.  Tasks decode, verify and write files into a staging folder beside the target; links come after
     all files, directory times last; then the folder is moved into place.
     """
+    if os.path.islink(archive):
+        raise GuardError(f"{archive} is a link")
+    if reason := filetree.skip_reason(os.path.realpath(folder), allow_system):
+        raise GuardError(f"{reason} path: {folder}")
     header, document, _ = container.read_archive(archive)
     if os.path.lexists(folder):
         raise GuardError(f"{folder} exists")
@@ -156,10 +264,12 @@ def apply_metadata(path: str, entry: dict) -> list[str]:
     out = []
     try:
         if entry.get("mode") is not None and entry["kind"] != "symlink":
+            if not container.valid_mode(entry["mode"]):
+                raise ValueError(f"mode {entry['mode']!r}")
             os.chmod(path, entry["mode"])
         if entry.get("mtime_ns") is not None:
             os.utime(path, ns=(entry["mtime_ns"], entry["mtime_ns"]), follow_symlinks=False)
-    except (OSError, OverflowError, ValueError, NotImplementedError) as error:
+    except (OSError, OverflowError, TypeError, ValueError, NotImplementedError) as error:
         out.append(f"{entry['path']}: {error}")
     return out
 
@@ -178,6 +288,41 @@ def verify_restore(spark: SparkSession, archive: str, folder: str) -> DataFrame:
     return manifest.restore_check(section(spark, archive, "entries"), restored)
 
 
+def verify_three(spark: SparkSession, archive: str, original: str, restored: str) -> DataFrame:
+    """path, problem: entries of the archive against the original tree and the restored one.
+
+    The first problem counts, in this order: missing in a tree, kind, size, content, link target, mode, time.  A tree
+    is named by the folder it stands for in the archive.
+    """
+    entries = section(spark, archive, "entries")
+    sides = {}
+    for name, root in (("original", original), ("restored", restored)):
+        rows, _ = walked(spark, root, allow_system=True)
+        full = contents(rows).select("path", "kind", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "target", "mode", "mtime_ns")
+        sides[name] = full.select("path", F.struct(*full.columns[1:]).alias(name))
+    out = entries.select("path", F.struct("kind", "size", "sha256", "target", "mode", "mtime_ns").alias("entry"))
+    for name, side in sides.items():
+        out = out.join(side, "path", "left")
+    problem = F.lit(None).cast("string")
+    for column, what in reversed((("kind", "kind"), ("size", "size"), ("sha256", "content"), ("target", "target"), ("mode", "mode"), ("mtime_ns", "time"))):
+        for name in ("restored", "original"):
+            differs = ~F.col("entry")[column].eqNullSafe(F.col(name)[column])
+            if column in ("mode", "mtime_ns"):
+                differs &= F.col("entry")[column].isNotNull() & (F.col("entry")["kind"] != "symlink")
+            problem = F.when(differs, F.lit(f"{name}: {what}")).otherwise(problem)
+    for name in ("restored", "original"):
+        problem = F.when(F.col(name).isNull(), F.lit(f"{name}: missing")).otherwise(problem)
+    return out.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def estimate(spark: SparkSession, root: str, allow_system: bool = False) -> DataFrame:
+    """What each file would take by itself: path, codec, size, stored_size."""
+    rows, _ = walked(spark, root, allow_system)
+    full = contents(rows.where("kind = 'file'")).where("content IS NOT NULL")
+    named = full.select("path", "content", "size", policy.requested_method(F.col("path")).alias("requested_method"), policy.default_codec(F.col("path")).alias("codec"))
+    return codec.compress(named, keep_payload=False).select("path", "codec", "size", "stored_size")
+
+
 def analyze(spark: SparkSession, root: str, allow_system: bool = False) -> DataFrame:
     """What packing would give by codec, without writing."""
     rows, _ = walked(spark, root, allow_system)

@@ -116,6 +116,8 @@ def index_parts(index: dict, dialect: Dialect = OWN) -> tuple[dict, dict]:
     for term, ids in block["postings"].items():
         if not isinstance(ids, list) or any(i not in block["documents"] for i in ids):
             raise FormatError(f"index: posting of {term!r}")
+        if any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+            raise FormatError(f"index: posting of {term!r} isn't sorted, or names an entry twice")
     return block["documents"], block["postings"]
 
 
@@ -130,8 +132,10 @@ def checked_pair(header: dict, manifest: dict, index: dict, dialect: Dialect = O
         raise FormatError("archive ids differ")
     path_of = {}
     for e in entries:
-        if e["entry_id"] in path_of or e["chunk_offset"] < 0 or e["chunk_length"] < 0 or e["chunk_offset"] + e["chunk_length"] > header["data_length"]:
-            raise FormatError(f"manifest: entry {e.get('entry_id')!r}")
+        if wrong := entry_problem(e):
+            raise FormatError(f"manifest: {wrong} of entry {e.get('entry_id') if isinstance(e, dict) else e!r}")
+        if e["entry_id"] in path_of or e["chunk_offset"] + e["chunk_length"] > header["data_length"]:
+            raise FormatError(f"manifest: entry {e['entry_id']!r}")
         path_of[e["entry_id"]] = e["path"]
     if len(set(path_of.values())) != len(path_of):
         raise FormatError("manifest: a path occurs twice")
@@ -139,11 +143,76 @@ def checked_pair(header: dict, manifest: dict, index: dict, dialect: Dialect = O
     for path in path_of.values():
         if not safe_path(path) or links & {*_ancestors(path)}:
             raise FormatError(f"manifest: path {path!r}")
+    search = manifest.get("search")
+    for block, what in ((search.get("semantic") if isinstance(search, dict) else None, "manifest"), (index.get("semantic"), "index")):
+        if wrong := semantic_problem(block):
+            raise FormatError(f"{what}: semantic {wrong}")
+    if isinstance(search, dict) and search.get("semantic") is not None and index.get("semantic") is not None and search["semantic"] != index["semantic"]:
+        raise FormatError("the semantic blocks of manifest and index differ")
     for key, document in index_parts(index, dialect)[0].items():
         if path_of.get(key) != document.get("path"):
             raise FormatError(f"index: document {key!r} and its entry differ")
 
 
+# What entries may hold.
+KINDS = ("file", "symlink", "dir")
+CODECS = ("store", "deflate", "zstd")
+METRICS = ("cosine", "dot", "l2")
+MOST_MODE = 0o7777
+
+
+def whole(value) -> bool:
+    """A whole number that is none of true and false."""
+    return isinstance(value, int) and not isinstance(value, bool)
+
+
+def valid_mode(value) -> bool:
+    return whole(value) and 0 <= value <= MOST_MODE
+
+
+def entry_problem(entry) -> str | None:
+    """The first field of a manifest entry that isn't as the format has it.
+
+    Kind, metadata and search fields came later, so entries may lack them.
+    """
+    if not isinstance(entry, dict):
+        return "type"
+    text = lambda v: isinstance(v, str) and bool(v)
+    count = lambda v: whole(v) and v >= 0
+    needed = {"entry_id": text, "path": text, "size": count, "sha256": lambda v: isinstance(v, str) and bool(SHA.fullmatch(v)), "codec": lambda v: v in CODECS, "chunk_offset": count, "chunk_length": count}
+    for name, fine in needed.items():
+        if name not in entry or not fine(entry[name]):
+            return name
+    may = {"kind": lambda v: v in KINDS, "mode": valid_mode, "mtime_ns": whole, "stored_size": count, "searchable": lambda v: isinstance(v, bool), "target": text, "dedup_of": text, "media_type": text, "requested_method": text, "chunk_id": text, "changing": lambda v: isinstance(v, bool)}
+    for name, fine in may.items():
+        if entry.get(name) is not None and not fine(entry[name]):
+            return name
+    kind = entry.get("kind") or "file"
+    if (kind == "symlink") != (entry.get("target") is not None):
+        return "target"
+    if kind != "file" and (entry["size"] or entry.get("searchable")):
+        return "size" if entry["size"] else "searchable"
+    if entry.get("stored_size", entry["chunk_length"]) != entry["chunk_length"]:
+        return "stored_size"
+    return None
+
+
+def semantic_problem(block) -> str | None:
+    """What is wrong with a semantic descriptor; absent ones are fine."""
+    if block is None:
+        return None
+    if not isinstance(block, dict) or block.get("status") not in ("ready", "unavailable"):
+        return "status"
+    if block.get("metric") is not None and block["metric"] not in METRICS:
+        return "metric"
+    if block["status"] == "ready":
+        if not isinstance(block.get("model_id"), str) or not block["model_id"].strip():
+            return "model_id"
+        if not whole(block.get("dimensions")) or block["dimensions"] <= 0:
+            return "dimensions"
+    return None
+
+
 def _ancestors(path: str) -> Iterator[str]:
     parts = path.split("/")
     return ("/".join(parts[:k]) for k in range(1, len(parts)))

@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.policy import LINK_TARGET_BYTES, PROTECTED, SYSTEM_ROOTS
 
-SCHEMA = "source string, path string, kind string, size long, mode int, mtime_ns long, target string, reason string"
+SCHEMA = "source string, path string, kind string, size long, mode int, mtime_ns long, target string, reason string, part long, nth long"
 
 
 class TreeError(ValueError):
@@ -55,9 +55,11 @@ def walk(source: str, path: str, allow_system: bool) -> Iterator[tuple]:
 
 
 @dataclass
-class Subtree(InputPartition):
-    source: str
-    path: str
+class Subtrees(InputPartition):
+    """Children of the root that a task walks; parts in their order are the walk in its order."""
+
+    part: int
+    items: list[tuple[str, str]]
     deep: bool
 
 
@@ -76,24 +78,34 @@ class FileTree(DataSource):
 
 
 class TreeReader(DataSourceReader):
+    #: Plain children of the root in one task at the most; a folder among them begins a task of its own.
+    FILES = 256
+
     def __init__(self, options):
         self.root = options["path"].removeprefix("file:")
         self.allow_system = options.get("allow_system", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        """The root itself, and a task for each child of it."""
+        """The root itself, and its children in their order: a task for each folder, and for each stretch of files."""
         root = os.path.abspath(self.root)
         if not os.path.lexists(root):
             raise TreeError(f"no such input: {self.root}")
         if reason := skip_reason(os.path.realpath(root), self.allow_system):
             raise TreeError(f"{reason} path: {self.root}")
         name = os.path.basename(root)
+        out = [Subtrees(0, [(root, name)], False)]
         if not os.path.isdir(root) or os.path.islink(root):
-            return [Subtree(root, name, False)]
-        return [Subtree(root, name, False), *(Subtree(os.path.join(root, n), f"{name}/{n}", True) for n in sorted(os.listdir(root)))]
-
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        if not partition.deep:
-            yield describe(partition.source, partition.path)
-        else:
-            yield from walk(partition.source, partition.path, self.allow_system)
+            return out
+        for child in sorted(os.scandir(root), key=lambda e: e.name):
+            folder = child.is_dir(follow_symlinks=False)
+            if folder or out[-1].part == 0 or len(out[-1].items) >= self.FILES or os.path.isdir(out[-1].items[-1][0]):
+                out.append(Subtrees(len(out), [], True))
+            out[-1].items.append((child.path, f"{name}/{child.name}"))
+        return out
+
+    def read(self, partition: Subtrees) -> Iterator[tuple]:
+        nth = 0
+        for source, path in partition.items:
+            for row in walk(source, path, self.allow_system) if partition.deep else [describe(source, path)]:
+                yield (*row, partition.part, nth)
+                nth += 1
