@@ -59,13 +59,14 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition("u").sortWithinPartitions("u", "v")
 
 
-def hot_keys(rows: DataFrame, one_in: int = 16, least: int = 24, most: int = 1000) -> list:
-    """The u with the most rows in a sample by hash of v, ``most`` at the most.
+def hot_keys(rows: DataFrame, one_in: int = 16, least: int = 24, most: int = 1000) -> list[tuple]:
+    """The u with the most rows in a sample by hash of v, ``most`` at the most; and whether those with v < u are many.
 
     The choice decides where rows go, not what comes out.
     """
-    sample = rows.where(F.pmod(F.xxhash64("v"), F.lit(one_in)) == 0).groupBy("u").count().where(F.col("count") >= least)
-    return [plain(r["u"]) for r in sample.orderBy(F.desc("count"), "u").limit(most).collect()]
+    counts = [F.count("*").alias("n"), F.count_if(F.col("v") < F.col("u")).alias("lesser")]
+    sample = rows.where(F.pmod(F.xxhash64("v"), F.lit(one_in)) == 0).groupBy("u").agg(*counts).where(F.col("n") >= least)
+    return [(plain(r["u"]), r["lesser"] >= least) for r in sample.orderBy(F.desc("n"), "u").limit(most).collect()]
 
 
 def plain(value):
@@ -99,7 +100,9 @@ def starred(rows: DataFrame, kind: str, hot: list, changed=None) -> DataFrame:
                 mask = pc.not_equal(v, first)
             yield pa.RecordBatch.from_arrays([first.filter(mask), v.filter(mask)], ["a", "b"])
 
-    out = rows.where(is_hot).select("u", "v").mapInArrow(run, f"a {node}, b {node}").distinct()
+    out = rows.where(is_hot).select("u", "v").mapInArrow(run, f"a {node}, b {node}")
+    if kind != "large":  # there rows of different u seldom give the same edge
+        out = out.distinct()
     if kind == "small":
         out = out.unionByName(rows.sparkSession.createDataFrame(list(zip(firsts, keys, strict=True)), f"a {node}, b {node}"))
     return stars(grouped(rows.where(~is_hot)), kind, changed).unionByName(out)
@@ -110,15 +113,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, **sizes: int)
 
     Large-star and small-star operations in turn: the first ties a node's greater neighbours to its least one, the
     second its lesser ones; what stays the same in a round is one star for each component.  A round is two shuffles
-    of (node, node) rows, each reduced as a stream; rows of hot nodes are not shuffled (see ``starred``).  A node
-    has no more rows in the second operation than in the first, so the hot ones of the first are enough.
+    of (node, node) rows, each reduced as a stream; rows of hot nodes are not shuffled (see ``starred``).  The second
+    operation has for a node no more rows than it has lesser neighbours in the first, so hot ones are known before.
     """
     edges = edges.where("a <> b")
     for _ in range(most_rounds):
         changed = edges.sparkSession.sparkContext.accumulator(0)
         both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
         hot = hot_keys(both, **sizes)
-        large = starred(both, "large", hot, changed)
+        large, hot = starred(both, "large", [u for u, _ in hot], changed), [u for u, lesser in hot if lesser]
         if hot:
             large = durable(large)
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

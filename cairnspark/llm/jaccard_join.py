@@ -267,7 +267,8 @@ def link_sets(sets: list[np.ndarray], label: np.ndarray | None = None, side: np.
 
 # Distributed part.
 
-BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
+PAIR_SETS, PAIR_SHINGLES = 1000, 2_000_000  # of blocks that are compared with each other
 
 
 def set_table(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -300,7 +301,7 @@ def set_table(docs: DataFrame, seed: int = 0) -> DataFrame:
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """node, root for the nodes of a set_table that share signatures, directly or by others; a root is its own."""
     rows = sets.select(F.explode("signatures").alias("u"), F.col("node").alias("v"))
-    groups = connected_components(durable(starred(rows, "siblings", hot_keys(rows))))
+    groups = connected_components(durable(starred(rows, "siblings", [u for u, _ in hot_keys(rows)])))
     return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -356,8 +357,8 @@ def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
     classes = wide.where("n > 0").groupBy("class", "node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     chosen = durable(classes.join(groups, "node").select("class", "doc_id", "n", F.col("root").alias("group")))
 
-    def blocked(rows: DataFrame) -> DataFrame:
-        blocks = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    def blocked(rows: DataFrame, sets: int, shingles: int) -> DataFrame:
+        blocks = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("n") / shingles)).alias("blocks"))
         return rows.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
 
     def place(block: str, other) -> list:
@@ -370,7 +371,7 @@ def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
         roots = found.select(F.col("class").alias("label"), F.col("root").alias("_root"))
         return rows.join(roots, "label", "left").withColumn("label", F.coalesce("_root", "label")).drop("_root")
 
-    chosen = blocked(chosen)
+    chosen = blocked(chosen, BLOCK_SETS, BLOCK_SHINGLES)
     found = grouped_components(chosen.select(*place("block", F.lit(-1)), *alone).join(docs, "doc_id"))
     now = durable(relabelled(chosen.withColumn("label", F.col("class")), found))
     out = now.where("blocks = 1").select("class", F.col("label").alias("root"))
@@ -389,7 +390,7 @@ def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
         return out.unionByName(large.select("class", F.col("label").alias("root")))
     again = candidate_groups(durable(set_table(left.select("doc_id").distinct().join(texts, "doc_id"), seed=1)))
     left = left.withColumn("node", F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")).join(again, "node")
-    left = durable(blocked(left.select("class", "doc_id", "n", "label", F.struct("group", "root").alias("group"))))
+    left = durable(blocked(left.select("class", "doc_id", "n", "label", F.struct("group", "root").alias("group")), PAIR_SETS, PAIR_SHINGLES))
     pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.when(F.col("block") != F.col("other"), F.col("block"))})
     joined = grouped_components(pairs.select(*place("low", F.col("high")), "label", "side").join(texts, "doc_id"))

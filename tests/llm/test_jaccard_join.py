@@ -71,6 +71,7 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     """With tiny blocks a family is split, its heads meet, and what is left is joined block by block."""
     rows = corpus(2, families=3, copies=25, length=40)
     monkeypatch.setattr(jj, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jj, "PAIR_SETS", 4)
     assert run(spark, rows) == brute_force(rows)
 
 
@@ -144,6 +145,7 @@ def test_groups_that_chance_joined_fall_apart(spark, monkeypatch):
 
     monkeypatch.setattr(jj, "candidate_groups", one_group)
     monkeypatch.setattr(jj, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jj, "PAIR_SETS", 4)
     assert run(spark, rows) == brute_force(rows) and len(calls) == 2
 
 
