@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import policy
 from ..functions import text as T
 from ..sources import bundle, container, filetree, logs
+from ..sources.store import back_up
 from . import codec, manifest
 
 
@@ -98,24 +97,6 @@ def inside(path: str, folder: str) -> bool:
     return os.path.realpath(path).startswith(os.path.realpath(folder) + os.sep)
 
 
-def free_backup(path: str, stamp: str | None = None) -> str:
-    """Where what is at ``path`` is kept before it is replaced: a stamp of the time, and a number if that is taken."""
-    stamp = stamp or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
-    for n in itertools.count():
-        name = f"{path}.backup-{stamp}{f'-{n}' if n else ''}"
-        if not os.path.lexists(name):
-            return name
-
-
-def back_up(path: str, stamp: str | None = None) -> str | None:
-    """Copy what is at ``path`` beside it; None if nothing is there."""
-    if not os.path.lexists(path):
-        return None
-    name = free_backup(path, stamp)
-    shutil.copy2(path, name, follow_symlinks=False)
-    return name
-
-
 def size_warnings(raw_bytes: int, packed_bytes: int | None, most_bytes: int | None) -> list[str]:
     """What is to be said of an archive's sizes: over the limit before or after packing, or no smaller than its input."""
     out = []

@@ -5,12 +5,17 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
+import threading
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import synthetic
 from ..sources.container import pretty_json, publish
 from .reports import missing
 from .rules import Rule
@@ -76,3 +81,70 @@ def process_memory(pid: int | str = "self") -> dict[str, int | str | None]:
 
         most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * (1 if os.uname().sysname == "Darwin" else 1024)
         return {"rss": None, "peak": most, "source": "getrusage"}
+
+
+class PeakMonitor:
+    """The greatest resident size of processes while a block runs, sampled in a thread."""
+
+    def __init__(self, pids: tuple[int | str, ...] = ("self",), every: float = 0.05):
+        self.pids, self.every, self.samples, self.peak = pids, every, 0, 0
+
+    def sample(self) -> None:
+        now = sum(process_memory(p)["rss"] or 0 for p in self.pids)
+        self.peak, self.samples = max(self.peak, now), self.samples + 1
+
+    def __enter__(self) -> PeakMonitor:
+        self.ended = threading.Event()
+        self.sample()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+        return self
+
+    def _run(self) -> None:
+        while not self.ended.wait(self.every):
+            self.sample()
+
+    def __exit__(self, *_) -> None:
+        self.ended.set()
+        self.thread.join()
+        self.sample()
+
+
+def missing_fields(present: Column, required: tuple[str, ...]) -> Column:
+    """Names that a record should have and hasn't, in order."""
+    return F.array_except(F.array(*map(F.lit, required)), present)
+
+
+def tree_of(spark: SparkSession, folder: str, size: int, count: int = 1, groups: int = 32) -> str:
+    """A generated tree: one compressible file of ``size`` bytes, or ``count`` of that size in groups."""
+    if count == 1:
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/large.txt", "wb") as f:
+            for row in synthetic.blocks(spark, size).orderBy("position").toLocalIterator(prefetchPartitions=True):
+                f.write(row["content"])
+        return folder
+    for row in synthetic.files(spark, count, size, groups).toLocalIterator():
+        os.makedirs(os.path.dirname(f"{folder}/{row['path']}"), exist_ok=True)
+        with open(f"{folder}/{row['path']}", "w", encoding="utf-8") as f:
+            f.write(row["content"])
+    return folder
+
+
+def measured(spark: SparkSession, root: str, work: str, indexed: bool = True) -> list[dict]:
+    """Packing and unpacking a tree end to end: a run for each, with seconds, peak and staging."""
+    from . import archive
+
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
+    target, out = f"{work}/measured-{uuid.uuid4().hex}.cairn", []
+    jobs = {"pack": lambda: archive.pack_all(spark, [root], target, indexed=indexed), "unpack": lambda: archive.restore(spark, target, f"{target}.tree", apply=True)}
+    for name, job in jobs.items():
+        with PeakMonitor() as monitor:
+            began = time.perf_counter()
+            job()
+            took = time.perf_counter() - began
+        staged = os.path.getsize(target) if name == "pack" else size
+        out.append({"operation": name, "size_bytes": size, "seconds": took, "peak_rss_bytes": monitor.peak, "temp_bytes": staged})
+    shutil.rmtree(f"{target}.tree", ignore_errors=True)
+    for end in ("", ".manifest.json", ".index.json"):
+        os.unlink(target + end)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lineage, policy
@@ -112,5 +112,10 @@ def restore_check(manifest: DataFrame, restored: DataFrame) -> DataFrame:
 
 
 def restore_verdict(problems: DataFrame, head: int = 20) -> DataFrame:
-    """Count by problem, with the first paths of all problems."""
-    return problems.groupBy("problem").agg(F.count("*").alias("paths"), F.array_join(F.slice(F.sort_array(F.collect_list("path")), 1, head), ",").alias("first_paths"))
+    """Count by problem, with the first paths of each.
+
+    The count is combined on the map side; of the paths each task keeps the first ones, so no list grows with a problem.
+    """
+    first = problems.withColumn("_rank", F.row_number().over(Window.partitionBy("problem").orderBy("path"))).where(F.col("_rank") <= head)
+    first = first.groupBy("problem").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("first_paths"))
+    return problems.groupBy("problem").agg(F.count("*").alias("paths")).join(first, "problem")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -46,6 +47,38 @@ class Backend:
         return [r | {"score": float(r["score"] or 0.0), "excerpt": r["excerpt"] or ""} for r in filled][:limit]
 
 
+def probe(module: str, attribute: str = "SEARCH_CAPABILITIES") -> tuple[Backend | None, list[str]]:
+    """The backend that an importable module offers, and what stands in the way of using it.
+
+    The module has a mapping, or a function that gives one, with supported, api_version, index_version, descriptor and
+    function (a callable, or the name of one in the module).
+    """
+    try:
+        found = importlib.import_module(module)
+    except Exception as error:  # noqa: BLE001  a broken plug-in must not end the engine
+        return None, [f"{module} can't be imported: {type(error).__name__}: {error}"]
+    offer = getattr(found, attribute, None)
+    try:
+        offer = offer() if callable(offer) else offer
+    except Exception as error:  # noqa: BLE001
+        return None, [f"{module}.{attribute} fails: {type(error).__name__}: {error}"]
+    if not isinstance(offer, dict):
+        return None, [f"{module} has no {attribute}"]
+    function = offer.get("function")
+    function = getattr(found, function, None) if isinstance(function, str) else function
+    backend = Backend(function, offer.get("supported") is True, str(offer.get("api_version")), offer.get("index_version", 0), offer.get("descriptor") or {})
+    problem = backend.problem()
+    return backend, [] if problem is None else [f"{module}: {problem} (wanted API {API_VERSION}, index version {INDEX_VERSION})"]
+
+
+def required(module: str) -> Backend:
+    """The backend of a module, or an error that says why it can't be used."""
+    backend, problems = probe(module)
+    if problems:
+        raise MismatchError("; ".join(problems))
+    return backend
+
+
 @dataclass
 class Answer:
     results: DataFrame

@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import urllib.parse
+import warnings
 from abc import ABC, abstractmethod
 from collections import deque
 from collections.abc import Callable
@@ -38,6 +39,24 @@ class FileInfo:
     file_id: str | None = None
 
 
+def free_backup(path: str, stamp: str | None = None) -> str:
+    """Where what is at ``path`` is kept before it is replaced: a stamp of the time, and a number if that is taken."""
+    stamp = stamp or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
+    n = 0
+    while os.path.lexists(name := f"{path}.backup-{stamp}{f'-{n}' if n else ''}"):
+        n += 1
+    return name
+
+
+def back_up(path: str, stamp: str | None = None) -> str | None:
+    """Copy the file at ``path`` beside it; None if nothing is there."""
+    if not os.path.lexists(path):
+        return None
+    name = free_backup(path, stamp)
+    shutil.copy2(path, name, follow_symlinks=False)
+    return name
+
+
 class ObjectStore(ABC):
     """What an archive job needs of a store.  Paths are relative, with forward slashes."""
 
@@ -65,20 +84,29 @@ class ObjectStore(ABC):
     def read_range(self, path: str, offset: int, length: int) -> bytes:
         raise NotImplementedError
 
-    def find(self, path: str, pattern: str) -> list[FileInfo]:
-        """Files below a folder whose base name fits a shell pattern: breadth first, MOST_FOUND items, MOST_DEPTH levels."""
-        out, seen, work = [], 0, deque([(path, 0)])
+    def find(self, path: str, pattern: str, most: int | None = MOST_FOUND, depth: int | None = MOST_DEPTH) -> list[FileInfo]:
+        """Files below a folder whose base name fits a shell pattern, breadth first.
+
+        At most ``most`` items are looked at, in ``depth`` levels; where more are there, a warning says so.  None for
+        either looks at all.
+        """
+        out, seen, cut, work = [], 0, False, deque([(path, 0)])
         while work:
-            folder, depth = work.popleft()
+            folder, level = work.popleft()
             for item in self.list_folder(folder):
                 seen += 1
-                if seen > MOST_FOUND:
+                if most is not None and seen > most:
+                    warnings.warn(f"only {most} items below {path!r} were looked at", stacklevel=2)
                     return out
                 if item.file_type == "dir":
-                    if depth < MOST_DEPTH:
-                        work.append((item.path, depth + 1))
+                    if depth is None or level < depth:
+                        work.append((item.path, level + 1))
+                    else:
+                        cut = True
                 elif fnmatch.fnmatchcase(item.path.rsplit("/", 1)[-1], pattern):
                     out.append(item)
+        if cut:
+            warnings.warn(f"folders more than {depth} levels below {path!r} were not looked at", stacklevel=2)
         return out
 
 
@@ -121,6 +149,7 @@ class LocalStore(ObjectStore):
         full = self._at(path)
         if os.path.exists(full) and not overwrite:
             raise StoreError(f"{path} exists")
+        back_up(full)
 
         def copy(out) -> None:
             with open(source, "rb") as f:
@@ -133,6 +162,7 @@ class LocalStore(ObjectStore):
         full = self._at(path)
         if not os.path.isfile(full):
             raise NotFoundError(path)
+        back_up(target)
 
         def copy(out) -> None:
             with open(full, "rb") as f:
@@ -216,8 +246,17 @@ class RestStore(ObjectStore):
         return {"path": f"{self.scheme}/{checked(path, True)}"}
 
     def list_folder(self, path: str) -> list[FileInfo]:
-        reply = self._call("GET", "resources", self._place(path) | {"limit": PAGE}, missing_ok=True)
-        items = self._json(reply).get("_embedded", {}).get("items", []) if reply else []
+        """All items, page by page."""
+        items, total = [], None
+        while total is None or len(items) < total:
+            query = self._place(path) | {"limit": PAGE} | ({"offset": len(items)} if items else {})
+            reply = self._call("GET", "resources", query, missing_ok=True)
+            inner = self._json(reply).get("_embedded", {}) if reply else {}
+            page = inner.get("items", [])
+            items += page
+            total = inner.get("total", len(items)) if len(page) == PAGE or "total" in inner else len(items)
+            if not page:
+                break
         return sorted(map(self._info, items), key=lambda i: i.path)
 
     def get_meta(self, path: str) -> FileInfo | None:
