@@ -14,27 +14,33 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in some learned language; null and letterless texts go."""
+    """Documents whose text is in some learned language, with all their columns; null, empty and letterless texts go.
+
+    Very long texts are parsed whole; repeated rows and null ids stay as they are; languages that tie don't matter here.
+    """
     return language_id.keep_known(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, that of the largest id; rows with a null id go if another row has their text."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join."""
+    """One document of each component of the n-gram Jaccard join, that of the least id, by the join's own shingles and limit.
+
+    Wordless texts and rows with a null id link with nothing and stay; of an id on several texts each is judged alone.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verbatim window of a benchmark item."""
+    """Documents without a verbatim window of a benchmark item; null texts and an empty benchmark drop nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; a null text is its end id alone, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
