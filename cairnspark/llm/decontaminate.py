@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, slices
+from .common import durable, fresh, map_arrow, slices
 
 WINDOW = 10
 ID_BITS = 21  # three word ids in a 64-bit key
 LAST = (1 << ID_BITS) - 1  # stands behind the end of an item; no word has it
 KEYS = -(-WINDOW // 3)
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 BLOCK_WORDS = 1_000_000  # suffixes of test items in one block; so it has fewer than 2 ** ID_BITS distinct words
 PASS_BLOCKS = 4  # blocks that are searched in one pass over the documents
 RUNS = "array<struct<s:long,e:long>>"
@@ -276,7 +276,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, added: tuple[str, str
 
         if number and number % PASS_BLOCKS == 0:
             state = durable(state)
-        state = state.mapInArrow(run, schema)
+        state = map_arrow(state, run, schema)
     return state
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, slices, spread_by_class
+from .common import durable, fresh, map_arrow, slices, spread_by_class
 from .components import connected_components, hot_keys, starred
 
 SHINGLE = 3
@@ -21,7 +21,7 @@ PERCENT = 90  # two sets link when 100 * intersection >= PERCENT * union
 SPARE = 3
 #: For sets that differ in so many shingles at the most: how many of all parts (and those that many more) are signed together.
 TOGETHER = {2: 3, 3: 3, 4: 2, 5: 2, 6: 2}
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -295,7 +295,7 @@ def set_table(docs: DataFrame, seed: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), nodes, signatures, *(part.column(c) for c in others)], ["doc_id", "n", "class", "node", "signatures", *others])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, n long, class binary, node long, signatures array<long>", *(f"`{c}` {kinds[c]}" for c in others)]))
+    return map_arrow(docs, run, ", ".join([f"doc_id {kinds['doc_id']}, n long, class binary, node long, signatures array<long>", *(f"`{c}` {kinds[c]}" for c in others)]))
 
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def grouped_components(rows: DataFrame) -> DataFrame:
         if (out := settle()) is not None:
             yield out
 
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "class binary, root binary")
+    return map_arrow(rows.repartition("group").sortWithinPartitions("group"), run, "class binary, root binary")
 
 
 def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
@@ -372,14 +372,14 @@ def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
         return rows.join(roots, "label", "left").withColumn("label", F.coalesce("_root", "label")).drop("_root")
 
     chosen = blocked(chosen, BLOCK_SETS, BLOCK_SHINGLES)
-    found = grouped_components(chosen.select(*place("block", F.lit(-1)), *alone).join(docs, "doc_id"))
+    texts = durable(chosen.select("doc_id").distinct().join(docs, "doc_id"))
+    found = grouped_components(chosen.select(*place("block", F.lit(-1)), *alone).join(texts, "doc_id"))
     now = durable(relabelled(chosen.withColumn("label", F.col("class")), found))
     out = now.where("blocks = 1").select("class", F.col("label").alias("root"))
     large = now.where("blocks > 1")
     if large.isEmpty():
         return out
 
-    texts = durable(large.select("doc_id").distinct().join(docs, "doc_id"))
     heads = large.where(F.col("class") == F.col("label"))
     meets = heads.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("meets"))
     heads = heads.join(meets, "group").withColumn("meet", F.pmod(F.xxhash64("class", F.lit(1)), F.col("meets")))

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices
+from .common import fresh, map_arrow, slices
 
 UNKNOWN = "und"
 BREAK, RARE = 0, 1  # symbols: between words, and any letter that no sample has
 SEGMENT, MEET = 1024, 192
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 @lru_cache(1)
@@ -161,8 +161,8 @@ class CrossParser:
             count[:, :live] += entry & 1
             state[:, :live] = entry >> 1
             if k < MEET and len(later):
-                states.append(state[:, later])
-                counts.append(count[:, later])
+                states.append(state[:, later].astype(np.int32))
+                counts.append(count[:, later].astype(np.int16))
         total = np.zeros((len(self.names), len(texts)), np.int64)
         text_of = owner[order]
         for lang in languages:
@@ -200,7 +200,7 @@ class CrossParser:
         return [self.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], [float(s[b]) if k else 0.0 for s, b, k in zip(share, best, known, strict=True)]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def parser_of(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(samples))
 
@@ -250,7 +250,7 @@ def with_language(docs: DataFrame, added: tuple[str, str] = ADDED, id_col: str =
                 lang, score = parser.predict(part.column(text_at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(lang, batch.schema.types[-2]), pa.array(score, batch.schema.types[-1])], schema=batch.schema)
 
-    return state.mapInArrow(run, state.schema)
+    return map_arrow(state, run, state.schema)
 
 
 def keep_known(docs: DataFrame, **names: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import map_arrow
 
 END_ID = 1
 FIELDS = (("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()))
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n, _ in fields)
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
