@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def stars(rows: DataFrame, kind: str, changed=None) -> DataFrame:
+#: Edges in one task, where tasks can be put together.
+TASK_EDGES = 100_000
+
+
+def stars(rows: DataFrame, kind: str, changed=None, emitted=None) -> DataFrame:
     """Edges (a, b) of stars over rows(u, v) that are partitioned by u and sorted by u, v; one pass, constant memory.
 
     ``siblings``: from the least v of each u to its other v.
     ``small``: the same for v < u, and from the least v to u itself.
     ``large``: from the least of u and its neighbours v to every neighbour above u.
-    Repeats of a row count once.  ``changed`` is an accumulator that is raised where an edge isn't there already.
+    Repeats of a row count once.  ``changed`` is an accumulator that is raised where an edge isn't there already,
+    ``emitted`` one that counts edges.
     """
     node = rows.schema["v"].dataType.simpleString()
 
@@ -50,6 +55,8 @@ def stars(rows: DataFrame, kind: str, changed=None) -> DataFrame:
             for a, b, keep in edges:
                 if keep.any():
                     mask = pa.array(keep)
+                    if emitted is not None:
+                        emitted.add(int(keep.sum()))
                     yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     return rows.mapInArrow(run, f"a {node}, b {node}")
@@ -73,14 +80,14 @@ def plain(value):
     return bytes(value) if isinstance(value, bytearray) else value
 
 
-def starred(rows: DataFrame, kind: str, hot: list, changed=None) -> DataFrame:
+def starred(rows: DataFrame, kind: str, hot: list, changed=None, emitted=None) -> DataFrame:
     """The same edges as ``stars(grouped(rows), kind)``, with no task that reads all rows of a ``hot`` u.
 
     All that a u needs is the least of its v.  For a hot one that is combined on the map side; its rows then stay
     where they are and meet that least v there.  What goes to the tasks has a value for each key in ``hot``.
     """
     if not hot:
-        return stars(grouped(rows), kind, changed)
+        return stars(grouped(rows), kind, changed, emitted)
     is_hot, node = F.col("u").isin(hot), rows.schema["v"].dataType.simpleString()
     ends = rows.where(is_hot).groupBy("u").agg(F.min("v").alias("first"), F.max("v").alias("last")).collect()
     if changed is not None and any(r["first"] < r["u"] < r["last"] if kind == "large" else r["first"] != r["last"] for r in ends):
@@ -105,7 +112,7 @@ def starred(rows: DataFrame, kind: str, hot: list, changed=None) -> DataFrame:
         out = out.distinct()
     if kind == "small":
         out = out.unionByName(rows.sparkSession.createDataFrame(list(zip(firsts, keys, strict=True)), f"a {node}, b {node}"))
-    return stars(grouped(rows.where(~is_hot)), kind, changed).unionByName(out)
+    return stars(grouped(rows.where(~is_hot)), kind, changed, emitted).unionByName(out)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60, **sizes: int) -> DataFrame:
@@ -116,16 +123,19 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, **sizes: int)
     of (node, node) rows, each reduced as a stream; rows of hot nodes are not shuffled (see ``starred``).  The second
     operation has for a node no more rows than it has lesser neighbours in the first, so hot ones are known before.
     """
-    edges = edges.where("a <> b")
+    edges, known = edges.where("a <> b"), edges.count()
+    context = edges.sparkSession.sparkContext
     for _ in range(most_rounds):
-        changed = edges.sparkSession.sparkContext.accumulator(0)
+        changed, emitted = context.accumulator(0), context.accumulator(0)
+        edges = edges.coalesce(max(context.defaultParallelism, known // TASK_EDGES + 1))  # small graphs make no crowd of tasks
         both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
         hot = hot_keys(both, **sizes)
         large, hot = starred(both, "large", [u for u, _ in hot], changed), [u for u, lesser in hot if lesser]
         if hot:
             large = durable(large)
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        edges = durable(starred(down, "small", hot, changed))
+        edges = durable(starred(down, "small", hot, changed, emitted))
+        known = emitted.value
         if changed.value == 0:  # a task that ran twice can only raise it
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -269,6 +269,7 @@ def link_sets(sets: list[np.ndarray], label: np.ndarray | None = None, side: np.
 
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 PAIR_SETS, PAIR_SHINGLES = 1000, 2_000_000  # of blocks that are compared with each other
+MANY_BLOCKS = 16  # a group of more such blocks is signed again first
 
 
 def set_table(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -351,7 +352,7 @@ def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
     3. Groups of several blocks: the roots of all blocks meet; groups that are whole then are done.  Sets of the
        others are signed again with parts dealt by another hash: groups that chance had joined fall apart, and each
        group that both signings agree on is traversed, all pairs of its blocks if it has several, passing over node
-       pairs of one component.
+       pairs of one component.  (Groups of MANY_BLOCKS blocks or fewer are traversed without that second signing.)
     """
     groups = candidate_groups(wide)
     classes = wide.where("n > 0").groupBy("class", "node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
@@ -388,14 +389,20 @@ def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
     left = large.join(split, "group", "left_semi").select("class", "doc_id", "n", "label", "group")
     if left.isEmpty():
         return out.unionByName(large.select("class", F.col("label").alias("root")))
-    again = candidate_groups(durable(set_table(left.select("doc_id").distinct().join(texts, "doc_id"), seed=1)))
-    left = left.withColumn("node", F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")).join(again, "node")
-    left = durable(blocked(left.select("class", "doc_id", "n", "label", F.struct("group", "root").alias("group")), PAIR_SETS, PAIR_SHINGLES))
+    left = durable(blocked(left, PAIR_SETS, PAIR_SHINGLES))
+    columns = ["class", "doc_id", "n", "label", "blocks", "block"]
+    far = left.where(F.col("blocks") > MANY_BLOCKS).select("class", "doc_id", "n", "label", "group")
+    left = left.where(F.col("blocks") <= MANY_BLOCKS).select(*columns, F.struct("group", F.lit(None).cast("long").alias("root")).alias("group"))
+    if not far.isEmpty():
+        again = candidate_groups(durable(set_table(far.select("doc_id").distinct().join(texts, "doc_id"), seed=1)))
+        far = far.withColumn("node", F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")).join(again, "node")
+        far = blocked(far.select("class", "doc_id", "n", "label", F.struct("group", "root").alias("group")), PAIR_SETS, PAIR_SHINGLES)
+        left = left.unionByName(durable(far.select(*columns, "group")))
     pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = pairs.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.when(F.col("block") != F.col("other"), F.col("block"))})
     joined = grouped_components(pairs.select(*place("low", F.col("high")), "label", "side").join(texts, "doc_id"))
     edges = joined.select(F.col("root").alias("a"), F.col("class").alias("b")).unionByName(large.select(F.col("label").alias("a"), F.col("class").alias("b")))
-    roots = connected_components(edges).withColumnRenamed("node", "class")
+    roots = connected_components(durable(edges)).withColumnRenamed("node", "class")
     return out.unionByName(large.select("class").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root")))
 
 

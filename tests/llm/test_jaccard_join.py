@@ -145,6 +145,7 @@ def test_groups_that_chance_joined_fall_apart(spark, monkeypatch):
 
     monkeypatch.setattr(jj, "candidate_groups", one_group)
     monkeypatch.setattr(jj, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jj, "MANY_BLOCKS", 1)
     monkeypatch.setattr(jj, "PAIR_SETS", 4)
     assert run(spark, rows) == brute_force(rows) and len(calls) == 2
 
