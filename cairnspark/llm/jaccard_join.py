@@ -343,7 +343,18 @@ def grouped_components(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.repartition("group").sortWithinPartitions("group"), run, "class binary, root binary")
 
 
-def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
+def with_group_values(rows: DataFrame, hot_share: float, **values) -> DataFrame:
+    """``rows`` with aggregates over their ``group``; groups of at least ``hot_share`` of all rows aren't shuffled.
+
+    Those are at most 1 / hot_share, so their values are broadcast and their rows stay where they are.
+    """
+    of_group = durable(rows.groupBy("group").agg(F.count("*").alias("_rows"), *(v.alias(k) for k, v in values.items())))
+    total = of_group.agg(F.sum("_rows")).first()[0] or 0
+    hot = of_group.where(F.col("_rows") >= max(2.0, total * hot_share)).select("group")
+    return spread_by_class(rows, of_group.drop("_rows"), "group", hot)
+
+
+def set_components(docs: DataFrame, wide: DataFrame, hot_share: float) -> DataFrame:
     """class, root for the classes of docs(doc_id, text) that may link with another; ``wide`` is its set_table.
 
     1. Signatures bring sets that may link together; their stars give candidate groups.
@@ -359,8 +370,8 @@ def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
     chosen = durable(classes.join(groups, "node").select("class", "doc_id", "n", F.col("root").alias("group")))
 
     def blocked(rows: DataFrame, sets: int, shingles: int) -> DataFrame:
-        blocks = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("n") / shingles)).alias("blocks"))
-        return rows.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+        blocks = F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("n") / shingles))
+        return with_group_values(rows, hot_share, blocks=blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
 
     def place(block: str, other) -> list:
         return ["doc_id", "class", F.struct("group", F.col(block).alias("block"), other.cast("long").alias("other")).alias("group")]
@@ -382,11 +393,10 @@ def set_components(docs: DataFrame, wide: DataFrame) -> DataFrame:
         return out
 
     heads = large.where(F.col("class") == F.col("label"))
-    meets = heads.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("meets"))
-    heads = heads.join(meets, "group").withColumn("meet", F.pmod(F.xxhash64("class", F.lit(1)), F.col("meets")))
+    meets = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES))
+    heads = with_group_values(heads, hot_share, meets=meets).withColumn("meet", F.pmod(F.xxhash64("class", F.lit(1)), F.col("meets")))
     large = durable(relabelled(large, grouped_components(heads.select(*place("meet", F.lit(-2)), *alone).join(texts, "doc_id"))))
-    split = large.groupBy("group").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("group")
-    left = large.join(split, "group", "left_semi").select("class", "doc_id", "n", "label", "group")
+    left = with_group_values(large, hot_share, split=F.min("label") != F.max("label")).where("split").select("class", "doc_id", "n", "label", "group")
     if left.isEmpty():
         return out.unionByName(large.select("class", F.col("label").alias("root")))
     left = durable(blocked(left, PAIR_SETS, PAIR_SHINGLES))
@@ -426,7 +436,7 @@ def joined(rows: DataFrame, hot_share: float = 0.001) -> DataFrame:
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
     wide = durable(set_table(rows))
     sets = durable(wide.drop("signatures"))
-    roots = set_components(rows.select("doc_id", "text"), wide)
+    roots = set_components(rows.select("doc_id", "text"), wide, hot_share)
     members = sets.where("n > 0")
     total = members.count()
     hot = lambda frame, key: frame.groupBy(key).count().where(F.col("count") >= max(2.0, total * hot_share)).select(key)
