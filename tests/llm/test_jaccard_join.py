@@ -150,6 +150,26 @@ def test_groups_that_chance_joined_fall_apart(spark, monkeypatch):
     assert run(spark, rows) == brute_force(rows) and len(calls) == 2
 
 
+def test_group_values_are_the_same_for_hot_and_cold_groups(spark):
+    rows = spark.createDataFrame([(k, 0 if k % 3 else k, k % 5) for k in range(60)], "class long, group long, n long").repartition(4)
+    want = {}
+    for r in rows.collect():
+        count, total = want.get(r["group"], (0, 0))
+        want[r["group"]] = count + 1, total + r["n"]
+    for share in (0.0001, 0.1, 2.0):  # groups of two rows or more are hot, the large one is, none is
+        out = jj.with_group_values(rows, share, size=F.count("*"), total=F.sum("n")).collect()
+        assert sorted(r["class"] for r in out) == list(range(60))
+        assert all((r["size"], r["total"]) == want[r["group"]] for r in out)
+    assert jj.with_group_values(rows.limit(0), 0.1, size=F.count("*")).collect() == []
+
+
+def test_blocks_of_cold_groups(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_SETS", 4)
+    rows = corpus(8, families=3, copies=9, length=50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jj.jaccard_join(docs, hot_share=2.0).collect())) == sorted(map(tuple, jj.jaccard_join(docs).collect())) == brute_force(rows)
+
+
 def test_very_long_texts_and_exact_limits(spark):
     rng = random.Random(7)
     long = [f"v{rng.randrange(50_000)}" for _ in range(30_000)]
