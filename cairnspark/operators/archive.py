@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..functions import text as T
-from ..sources import bundle, container, filetree, logs
+from ..sources import assembly, bundle, container, filetree, logs
 from ..sources.store import back_up
 from . import codec, manifest
 
@@ -120,7 +121,7 @@ class Packed:
     backup: str | None
 
 
-def pack_all(spark: SparkSession, roots: list[str], archive: str, created_at: str = "", dedup: bool = True, indexed: bool = True, allow_system: bool = False, overwrite: bool = False, archive_id: str | None = None, accept_changing: bool = False, most_bytes: int | None = None, force: bool = False, on_record: Callable[[dict], None] | None = None, log: str | None = None, project: str | None = None) -> Packed:
+def pack_all(spark: SparkSession, roots: list[str], archive: str, created_at: str = "", dedup: bool = True, indexed: bool = True, allow_system: bool = False, overwrite: bool = False, archive_id: str | None = None, accept_changing: bool = False, most_bytes: int | None = None, force: bool = False, on_record: Callable[[dict], None] | None = None, log: str | None = None, project: str | None = None, sidecars: bool = True) -> Packed:
     """Write an archive of trees.  Each distinct payload is compressed once, and no content is kept between passes.
 
     A first pass over the files gives sizes and digests, a second one payloads; a file whose digest is another by
@@ -134,28 +135,31 @@ def pack_all(spark: SparkSession, roots: list[str], archive: str, created_at: st
     rows, skipped = walked_all(spark, roots, allow_system)
     read = contents(rows, accept_changing).withColumns({"size": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256), "lost": F.col("content").isNull()}).drop("content").cache()  # metadata only
     try:
-        totals = read.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("raw"), F.count_if("changed").alias("changing")).first()
+        totals = read.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("raw"), F.count_if("changed").alias("changing"), F.count_if(~F.col("lost")).alias("kept")).first()
         if not force and (over := size_warnings(totals["raw"], None, most_bytes)):
             raise GuardError(over[0])
         lost = read.where("lost").select("path", F.when(F.col("changed"), "changed").otherwise("vanished").alias("reason"))
         full = read.where("NOT lost")
         entries = manifest.entries(full, indexed).join(full.select("position", "source", "mode", "mtime_ns", "target"), "position")
         layout = manifest.chunk_layout(entries, dedup)
-        again = contents(layout.where("dedup_of IS NULL OR searchable"), accept_changing=True)
-        same = F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(F.raise_error(F.concat("path", F.lit(" changed while it was packed"))))
-        again = again.withColumn("content", same)
-        words = F.make_valid_utf8(F.col("content").cast("string"))
-        text = F.when(F.col("searchable"), words)
-        again = again.withColumns({"excerpt": T.excerpt(text), "terms": F.when(F.col("searchable"), T.terms(F.col("path"), text)), "owns": F.col("dedup_of").isNull()})
-        again = codec.compress(again.withColumn("content", F.when(F.col("owns"), F.col("content"))).select("position", "requested_method", "codec", "excerpt", "terms", "owns", "content"))
-        again = again.select("position", "excerpt", "terms", *(F.when(F.col("owns"), F.col(c)).alias(c) for c in ("codec", "stored_size", "payload")))
-        out = layout.drop("codec", "stored_size").join(again, "position", "left")
+
+        def prepare(rows: DataFrame) -> DataFrame:
+            again = contents(rows, accept_changing=True)
+            same = F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(F.raise_error(F.concat("path", F.lit(" changed while it was packed"))))
+            again = again.withColumn("content", same)
+            words = F.make_valid_utf8(F.col("content").cast("string"))
+            text = F.when(F.col("searchable"), words)
+            again = again.withColumns({"excerpt": T.excerpt(text), "terms": F.when(F.col("searchable"), T.terms(F.col("path"), text)), "owns": F.col("dedup_of").isNull()})
+            names = ("position", "entry_id", "path", "chunk_id", "searchable", "requested_method", "codec", "excerpt", "terms", "owns")
+            again = codec.compress(again.withColumn("content", F.when(F.col("owns"), F.col("content"))).select(*names, "content"))
+            return again.withColumns({c: F.when(F.col("owns"), F.col(c)) for c in ("codec", "payload")})
+
         backup = back_up(archive)
-        writer = out.select(*bundle.names(bundle.WRITE)).write.format("bundle").mode("overwrite" if overwrite else "append").option("created_at", created_at).option("index", str(indexed).lower()).option("dedup", str(dedup).lower())
-        (writer.option("archive_id", archive_id) if archive_id else writer).save(archive)
+        assembly.write(layout, prepare, totals["kept"], totals["raw"], archive, created_at, archive_id, indexed, dedup, overwrite, sidecars)
         gone = skipped.unionByName(lost)
         register(spark)
-        header, document, _ = container.read_archive(archive)
+        found = container.scan_archive(archive)
+        document, header = found.manifest, found.header
         raw, packed = document["raw_bytes"], header["archive_size"]
         record = {"operation": "pack", "archive": os.path.basename(archive), "disk": "local", "project": project, "raw_bytes": raw, "packed_bytes": packed, "saved_bytes": raw - packed, "saved_pct": round((raw - packed) / raw * 100, 2) if raw else 0.0, "methods": document["methods"]}
         if on_record:
@@ -195,45 +199,62 @@ def restore(spark: SparkSession, archive: str, folder: str, apply: bool = False,
         raise GuardError(f"{archive} is a link")
     if reason := filetree.skip_reason(os.path.realpath(folder), allow_system):
         raise GuardError(f"{reason} path: {folder}")
-    header, document, _ = container.read_archive(archive)
+    header = container.scan_archive(archive).header
     if os.path.lexists(folder):
         raise GuardError(f"{folder} exists")
     if not apply:
         return []
     staging = f"{os.path.abspath(folder)}.staging-{uuid.uuid4().hex}"
-    entries, warnings = document["entries"], []
-    jobs = [(e["path"], header["data_offset"] + e["chunk_offset"], e["chunk_length"], e["codec"], e["size"], e["sha256"]) for e in entries if e["kind"] == "file"]
-    try:
-        for path in [staging, *(f"{staging}/{e['path']}" for e in entries if e["kind"] == "dir")]:
-            os.makedirs(path, exist_ok=True)
+    entries = section(spark, archive, "entries").withColumn("kind", F.coalesce("kind", F.lit("file")))
+    start = header["data_offset"]
 
-        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import hashlib
+    def done(kind: str, make: Callable[[dict], list[str]]) -> tuple[int, list[str]]:
+        """Make the entries of a kind in tasks; how many there are, and warnings."""
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    target, digest = f"{staging}/{row['path']}", hashlib.sha256()
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    temp = f"{target}.{uuid.uuid4().hex}"
-                    with open(temp, "wb") as f:
-                        for block in bundle.decoded(archive, row["at"], row["n"], row["codec"], row["size"]):
-                            digest.update(block)
-                            f.write(block)
-                    if digest.hexdigest() != row["sha256"]:
-                        raise container.FormatError(f"{row['path']}: digest")
-                    os.replace(temp, target)
-                yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
-
-        if jobs:
-            rows = spark.createDataFrame(jobs, "path string, at long, n long, codec string, size long, sha256 string")
-            if rows.mapInArrow(write, "path string").count() != len(jobs):
-                raise container.FormatError("not all files were restored")
-        for e in entries:
-            if e["kind"] == "symlink":
-                os.makedirs(os.path.dirname(f"{staging}/{e['path']}"), exist_ok=True)
-                os.symlink(e["target"], f"{staging}/{e['path']}")
-        for e in sorted(entries, key=lambda e: (e["kind"] == "dir", -e["path"].count("/"))) if metadata else ():
-            warnings += apply_metadata(f"{staging}/{e['path']}", e)
+                said = [w for row in batch.to_pylist() for w in make(row)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([said], pa.list_(pa.string()))], ["n", "warnings"])
+
+        rows = entries.where(F.col("kind") == kind).select("path", "kind", "target", "mode", "mtime_ns", (F.col("chunk_offset") + start).alias("at"), F.col("chunk_length").alias("n"), "codec", "size", "sha256")
+        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, header["entry_count"] // 5_000)) if kind == "file" else rows
+        got = rows.mapInArrow(run, "n long, warnings array<string>").collect()
+        return sum(r["n"] for r in got), [w for r in got for w in r["warnings"]]
+
+    def folder_of(row: dict) -> list[str]:
+        os.makedirs(f"{staging}/{row['path']}", exist_ok=True)
+        return []
+
+    def file_of(row: dict) -> list[str]:
+        target, digest = f"{staging}/{row['path']}", hashlib.sha256()
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        temp = f"{target}.{uuid.uuid4().hex}"
+        with open(temp, "wb") as f:
+            for block in bundle.decoded(archive, row["at"], row["n"], row["codec"], row["size"]):
+                digest.update(block)
+                f.write(block)
+        if digest.hexdigest() != row["sha256"]:
+            raise container.FormatError(f"{row['path']}: digest")
+        os.replace(temp, target)
+        return apply_metadata(target, row) if metadata else []
+
+    def link_of(row: dict) -> list[str]:
+        target = f"{staging}/{row['path']}"
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        if not os.path.islink(target):  # a task that is run again
+            os.symlink(row["target"], target)
+        return apply_metadata(target, row) if metadata else []
+
+    try:
+        os.makedirs(staging)
+        made = [done(kind, make) for kind, make in (("dir", folder_of), ("file", file_of), ("symlink", link_of))]
+        if sum(n for n, _ in made) != header["entry_count"]:
+            raise container.FormatError("not all entries were restored")
+        warnings = [w for _, said in made for w in said]
+        if metadata:
+            folders = entries.where("kind = 'dir'").select("path", "kind", "mode", "mtime_ns").orderBy(F.size(F.split("path", "/")).desc())
+            for row in folders.toLocalIterator():
+                warnings += apply_metadata(f"{staging}/{row['path']}", row.asDict())
         os.replace(staging, folder)
     finally:
         shutil.rmtree(staging, ignore_errors=True)

@@ -12,6 +12,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from ..operators import codec
@@ -43,6 +45,8 @@ def dialect_of(options) -> container.Dialect:
 @dataclass
 class Part(InputPartition):
     rows: list[tuple]
+    block: container.Block | None
+    data_offset: int
 
 
 class Bundle(DataSource):
@@ -83,40 +87,63 @@ class BundleReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Rows of a metadata section in blocks, or the byte ranges of payload; read on the driver, which bounds them by what an index may hold."""
-        header, manifest, index = container.read_archive(self.path, self.dialect)
-        rows = getattr(self, f"_{self.section}")(header, manifest, index)
-        return [Part(rows[k : k + self.block]) for k in range(0, len(rows), self.block)] or [Part([])]
-
-    def _header(self, header, manifest, index) -> list[tuple]:
-        return [tuple(header[n] for n in names(SCHEMAS["header"]))]
-
-    def _entries(self, header, manifest, index) -> list[tuple]:
-        return [tuple(e.get(n, {"position": k, "kind": "file"}.get(n)) for n in names(ENTRY)) for k, e in enumerate(manifest["entries"])]
-
-    def _documents(self, header, manifest, index) -> list[tuple]:
-        found, _ = container.index_parts(index, self.dialect)
-        return [(i, d["path"], d.get("excerpt", ""), list(d.get("terms", []))) for i, d in sorted(found.items())]
-
-    def _postings(self, header, manifest, index) -> list[tuple]:
-        _, found = container.index_parts(index, self.dialect)
-        terms = found if self.terms is None else sorted(self.terms & found.keys())
-        return [(t, i) for t in terms for i in found[t]]
-
-    def _payload(self, header, manifest, index) -> list[tuple]:
-        files = [e for e in manifest["entries"] if e.get("kind", "file") == "file"]
-        self.block = 1 if sum(e["chunk_length"] for e in files) > len(files) * container.BLOCK else 64
-        return [(e["entry_id"], e["path"], header["data_offset"] + e["chunk_offset"], e["chunk_length"], e["codec"], e["size"], e["sha256"]) for e in files]
+        """Places of blocks of a section.  The driver scans the metadata and checks it, and keeps none of it."""
+        found = container.scan_archive(self.path, self.dialect, self.block)
+        if self.section == "header":
+            return [Part([tuple(found.header[n] for n in names(SCHEMAS["header"]))], None, 0)]
+        blocks = found.blocks[self.section]
+        if self.terms is not None:
+            blocks = [b for b in blocks if any(b.least <= t <= b.greatest for t in self.terms)]
+        start = found.header["index_offset" if self.section in ("documents", "postings") else "manifest_offset"]
+        return [Part([], container.Block(start + b.offset, b.length, b.first), found.header["data_offset"]) for b in blocks] or [Part([], None, 0)]
+
+    def _entries(self, entries: list[dict], first: int) -> Iterator[tuple]:
+        for k, e in enumerate(entries, first):
+            yield tuple(e.get(n, {"position": k, "kind": "file"}.get(n)) for n in names(ENTRY))
+
+    def _payload(self, entries: list[dict], data_offset: int) -> Iterator[tuple]:
+        for e in entries:
+            if e.get("kind", "file") == "file":
+                data = b"".join(decoded(self.path, data_offset + e["chunk_offset"], e["chunk_length"], e["codec"], e["size"]))
+                if container.sha256(data) != e["sha256"]:
+                    raise container.FormatError(f"{e['path']}: digest")
+                yield e["entry_id"], e["path"], data
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        if self.section != "payload":
+        block = partition.block
+        if block is None:
             yield from (tuple(r) for r in partition.rows)
             return
-        for entry_id, path, offset, length, kind, size, sha in partition.rows:
-            data = b"".join(decoded(self.path, offset, length, kind, size))
-            if container.sha256(data) != sha:
-                raise container.FormatError(f"{path}: digest")
-            yield entry_id, path, data
+        data = container.file_range(self.path)(block.offset, block.length)
+        found = container.block_of(data, container.Block(0, block.length, 0), self.section, self.section in ("documents", "postings"))
+        if self.section == "entries":
+            yield from self._entries(found, block.first)
+        elif self.section == "payload":
+            yield from self._payload(found, partition.data_offset)
+        elif self.section == "documents":
+            yield from ((i, d["path"], d.get("excerpt", ""), list(d.get("terms", []))) for i, d in found.items())
+        else:
+            yield from ((t, i) for t, ids in found.items() if self.terms is None or t in self.terms for i in ids)
+
+
+def sidecar(spark: SparkSession, archive: str, rows: int = 20_000) -> DataFrame:
+    """Entries of the manifest beside an archive; the driver finds blocks of them, which are read in tasks."""
+    path, cut = f"{archive}.manifest.json", container.Cutter(rows)
+    source = container.Json(container.mapped(path, 0, os.path.getsize(path)), "manifest")
+    for name in source.members():
+        for _ in source.items(cut) if name == "entries" else [source.value()]:
+            pass
+    schema = {n: {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}.get(t, pa.string()) for n, t in (c.split() for c in ENTRY.split(", "))}
+
+    def run(batches):
+        for batch in batches:
+            for offset, length, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = container.block_of(container.file_range(path)(offset, length), container.Block(0, length, first), "manifest")
+                entries = [{"position": k, "kind": "file"} | e for k, e in enumerate(found, first)]
+                yield pa.RecordBatch.from_arrays([pa.array([e.get(n) for e in entries], t) for n, t in schema.items()], [*schema])
+
+    blocks = spark.createDataFrame([(b.offset, b.length, b.first) for b in cut.blocks], "offset long, length long, first long")
+    return blocks.repartition(max(1, len(cut.blocks))).mapInArrow(run, ENTRY)
 
 
 def decoded(archive: str, offset: int, length: int, kind: str, size: int) -> Iterator[bytes]:

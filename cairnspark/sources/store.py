@@ -16,7 +16,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .container import publish, safe_path
+from .container import mapped, publish, safe_path
 
 LISTING = "path string, size long, modified string, file_type string, file_id string"
 MOST_FOUND, MOST_DEPTH, PAGE = 2000, 8, 1000
@@ -174,20 +174,18 @@ class LocalStore(ObjectStore):
         full = self._at(checked(path))
         shutil.rmtree(full) if os.path.isdir(full) else os.path.exists(full) and os.unlink(full)
 
-    def read_bytes(self, path: str) -> bytes:
+    def read_bytes(self, path: str) -> bytes | memoryview:
+        """Of a large file a view, which takes no memory."""
         if not os.path.isfile(self._at(path)):
             raise NotFoundError(path)
-        with open(self._at(path), "rb") as f:
-            return f.read()
+        return mapped(self._at(path), 0, os.path.getsize(self._at(path)))
 
-    def read_range(self, path: str, offset: int, length: int) -> bytes:
+    def read_range(self, path: str, offset: int, length: int) -> bytes | memoryview:
         if offset < 0 or length < 0:
             raise StoreError("a range begins at 0 or later and has no negative length")
         if not os.path.isfile(self._at(path)):
             raise NotFoundError(path)
-        with open(self._at(path), "rb") as f:
-            f.seek(offset)
-            data = f.read(length)
+        data = mapped(self._at(path), offset, length)
         if len(data) != length:
             raise StoreError(f"{path}: {len(data)} of {length} bytes")
         return data
