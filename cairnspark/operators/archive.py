@@ -134,6 +134,7 @@ def pack_all(spark: SparkSession, roots: list[str], archive: str, created_at: st
         raise GuardError(f"{archive} exists")
     rows, skipped = walked_all(spark, roots, allow_system)
     read = contents(rows, accept_changing).withColumns({"size": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256), "lost": F.col("content").isNull()}).drop("content").cache()  # metadata only
+    layout = None
     try:
         totals = read.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("raw"), F.count_if("changed").alias("changing"), F.count_if(~F.col("lost")).alias("kept")).first()
         if not force and (over := size_warnings(totals["raw"], None, most_bytes)):
@@ -141,7 +142,7 @@ def pack_all(spark: SparkSession, roots: list[str], archive: str, created_at: st
         lost = read.where("lost").select("path", F.when(F.col("changed"), "changed").otherwise("vanished").alias("reason"))
         full = read.where("NOT lost")
         entries = manifest.entries(full, indexed).join(full.select("position", "source", "mode", "mtime_ns", "target"), "position")
-        layout = manifest.chunk_layout(entries, dedup)
+        layout = manifest.chunk_layout(entries, dedup).cache()  # metadata only
 
         def prepare(rows: DataFrame) -> DataFrame:
             again = contents(rows, accept_changing=True)
@@ -170,6 +171,8 @@ def pack_all(spark: SparkSession, roots: list[str], archive: str, created_at: st
         return Packed(out, record, size_warnings(raw, packed, most_bytes), totals["changing"], backup)
     finally:
         read.unpersist()
+        if layout is not None:
+            layout.unpersist()
 
 
 def pack(spark: SparkSession, root: str, archive: str, **options) -> DataFrame:

@@ -6,6 +6,7 @@ bytes are those that ``container.write_archive`` would give.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import os
@@ -30,14 +31,14 @@ OPTIONAL = ("mode", "mtime_ns", "target", "dedup_of")
 
 
 class Texts:
-    """A text file of one task: elements with commas between them.  It is there once it has an element."""
+    """A compressed text file of one task: elements with commas between them.  It is there once it has an element."""
 
     def __init__(self, base: str):
         self.base, self.file = base, None
 
     def add(self, text: str) -> None:
         if self.file is None:
-            self.file = open(f"{self.base}.json", "wb")  # noqa: SIM115
+            self.file = gzip.open(f"{self.base}.json", "wb", compresslevel=1)
         else:
             text = "," + text
         self.file.write(text.encode("utf-8"))
@@ -129,7 +130,7 @@ def posting_parts(rows: DataFrame, staging: str) -> DataFrame:
             for t, ids in zip(batch.column("term").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 end = "],"
                 if file is None:
-                    file, first, end = open(f"{base}.json", "wb"), t, ""  # noqa: SIM115
+                    file, first, end = gzip.open(f"{base}.json", "wb", compresslevel=1), t, ""
                 file.write((f"{end}{compact(t)}:[" if t != term else ",").encode() + zlib.decompress(ids))
                 term = t
         if file:
@@ -159,7 +160,7 @@ class Pieces:
             if isinstance(piece, bytes):
                 yield piece
                 continue
-            yield from file_blocks(piece, drop)
+            yield from file_blocks(piece, drop, gzip.open)
 
     def measured(self) -> tuple[int, str]:
         digest, n = hashlib.sha256(), 0
@@ -173,8 +174,8 @@ class Pieces:
             out.write(block)
 
 
-def file_blocks(path: str, drop: bool = False) -> Iterator[bytes]:
-    with open(path, "rb") as f:
+def file_blocks(path: str, drop: bool = False, opened: Callable = open) -> Iterator[bytes]:
+    with opened(path, "rb") as f:
         while data := f.read(container.BLOCK):
             yield data
     if drop:
