@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .container import mapped, publish, safe_path
@@ -312,6 +313,27 @@ class UnconfiguredStore(ObjectStore):
     list_folder = get_meta = ensure_folder = upload = download = delete = read_bytes = read_range = find = _refuse
 
 
+def find_all(spark: SparkSession, store: ObjectStore, path: str, patterns: list[str]) -> DataFrame:
+    """Paths of all files below a folder whose base name fits a shell pattern, level by level; tasks list the folders.
+
+    Nothing is left out at any number of items or levels.  Only the folders of a level meet on the driver.
+    """
+
+    def run(batches):
+        for batch in batches:
+            items = [i for folder in batch.column("folder").to_pylist() for i in store.list_folder(folder)]
+            kept = [i for i in items if i.file_type == "dir" or any(fnmatch.fnmatchcase(i.path.rsplit("/", 1)[-1], p) for p in patterns)]
+            yield pa.RecordBatch.from_arrays([pa.array([i.path for i in kept], pa.string()), pa.array([i.file_type == "dir" for i in kept], pa.bool_())], ["path", "is_folder"])
+
+    folders, out = [path], spark.createDataFrame([], "path string")
+    while folders:
+        rows = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 4 * spark.sparkContext.defaultParallelism))
+        found = rows.mapInArrow(run, "path string, is_folder boolean")
+        out = out.unionByName(found.where("NOT is_folder").select("path"))
+        folders = [r["path"] for r in found.where("is_folder").select("path").collect()]
+    return out
+
+
 def listing(spark: SparkSession, items: list[FileInfo]) -> DataFrame:
     """A listing as a table."""
     return spark.createDataFrame([(i.path, i.size, i.modified, i.file_type, i.file_id) for i in items], LISTING)

@@ -110,3 +110,15 @@ def test_sidecar_entries_are_read_in_blocks(spark, packed):
     got = bundle.sidecar(spark, packed, rows=50)
     assert got.rdd.getNumPartitions() > 1
     assert sorted(map(tuple, got.select("entry_id", "path", "size", "target").collect())) == sorted(wanted)
+
+
+def test_find_all_looks_at_every_item(spark, tmp_path):
+    for k in range(2100):
+        (tmp_path / f"t/a{k % 2}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"t/a{k % 2}/doc-{k:05d}.md").touch()
+    deep = tmp_path / "t" / "/".join("abcdefghijk")
+    deep.mkdir(parents=True)
+    (deep / "doc-1.md").touch()
+    s = store.LocalStore(str(tmp_path))
+    wanted = sorted(i.path for i in s.find("t", "doc-*1.md", None, None))
+    assert len(wanted) == 211 and sorted(r["path"] for r in store.find_all(spark, s, "t", ["doc-*1.txt", "doc-*1.md"]).collect()) == wanted
