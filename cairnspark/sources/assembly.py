@@ -25,6 +25,7 @@ from . import container
 #: Bytes of content, and postings held at once, of a task.
 PART, POSTINGS = 16 << 20, 1_000_000
 STAGED = "position long, entry_id string, chunk_id string, codec string, stored_size long, staged string, staged_at long"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FRAGMENTS = pa.schema([("term", pa.string()), ("first", pa.string()), ("ids", pa.binary())])
 ENTRY = ("entry_id", "path", "kind", "size", "sha256", "media_type", "requested_method", "chunk_id", "searchable", "codec", "stored_size", "chunk_offset", "chunk_length")
 OPTIONAL = ("mode", "mtime_ns", "target", "dedup_of")
@@ -190,7 +191,9 @@ def write(layout: DataFrame, prepare: Callable[[DataFrame], DataFrame], expected
     """
     spark, archive_id = layout.sparkSession, archive_id or str(uuid.uuid4())
     staging = f"{os.path.abspath(path)}.staging-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
     try:
+        spark.conf.set(CLEANUP, "true")  # each job here runs once, so its shuffle files needn't wait for the JVM's collector
         os.makedirs(staging)
         n = max(spark.sparkContext.defaultParallelism, -(-raw_bytes // PART))
         wanted = layout.where("dedup_of IS NULL OR searchable").repartitionByRange(n, "entry_id").sortWithinPartitions("entry_id")
@@ -253,4 +256,8 @@ def write(layout: DataFrame, prepare: Callable[[DataFrame], DataFrame], expected
             raise container.FormatError(f"{path} exists")
         container.publish({path: body} | (container.sidecar_writers(path, lambda: staged_archive[0], d) if sidecars else {}))
     finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
         shutil.rmtree(staging, ignore_errors=True)
