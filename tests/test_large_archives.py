@@ -122,3 +122,15 @@ def test_find_all_looks_at_every_item(spark, tmp_path):
     s = store.LocalStore(str(tmp_path))
     wanted = sorted(i.path for i in s.find("t", "doc-*1.md", None, None))
     assert len(wanted) == 211 and sorted(r["path"] for r in store.find_all(spark, s, "t", ["doc-*1.txt", "doc-*1.md"]).collect()) == wanted
+
+
+def test_queries_of_trees_and_logs_pack_nothing(spark, monkeypatch):
+    from cairnspark.plans import archives, catalog
+
+    def never(*_, **__):
+        raise AssertionError("packed")
+
+    monkeypatch.setattr(archives, "PLACES", {})
+    monkeypatch.setattr(archive, "pack_all", never)
+    for name in ("log_appended_and_read", "tree_analyze", "store_find"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
