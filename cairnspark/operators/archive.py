@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..functions import text as T
-from ..sources import assembly, bundle, container, filetree, logs
+from ..sources import assembly, bundle, container, filetree, logs, planned
 from ..sources.store import back_up
 from . import codec, manifest
 
@@ -37,9 +37,8 @@ def walked(spark: SparkSession, root: str, allow_system: bool = False) -> tuple[
     The order is that of path components, in which each task walks its part of the tree; a position is a row's place
     in its part behind the rows of the parts before it, so only the sizes of the parts are summed in one task.
     """
-    register(spark)
-    rows = spark.read.format("filetree").option("allow_system", str(allow_system).lower()).load(root)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = planned.table(spark, filetree.TreeReader({"path": root, "allow_system": str(allow_system)}), filetree.SCHEMA)
+    before =Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     rows = rows.join(parts, "part").withColumn("position", F.col("_before") + F.col("nth")).drop("_before", "part", "nth")
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL").select("path", "reason")
@@ -180,9 +179,13 @@ def pack(spark: SparkSession, root: str, archive: str, **options) -> DataFrame:
     return pack_all(spark, [root], archive, **options).skipped
 
 
-def section(spark: SparkSession, archive: str, name: str) -> DataFrame:
-    register(spark)
-    return spark.read.format("bundle").option("section", name).load(archive)
+def section(spark: SparkSession, archive: str, name: str, terms: list[str] | None = None) -> DataFrame:
+    """A section as the archive source gives it; of postings only some terms, where they are named, from their blocks alone."""
+    if name not in bundle.SCHEMAS:
+        raise container.FormatError(f"no section {name!r}")
+    reader = bundle.BundleReader({"path": archive, "section": name})
+    reader.terms = None if terms is None else {*terms}
+    return planned.table(spark, reader, bundle.SCHEMAS[name])
 
 
 def restore_plan(spark: SparkSession, archive: str) -> DataFrame:

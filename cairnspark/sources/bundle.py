@@ -76,6 +76,7 @@ class BundleReader(DataSourceReader):
         self.path, self.section, self.dialect = local_path(options), options.get("section", "entries"), dialect_of(options)
         self.block = int(options.get("rows_per_task", "20000"))
         self.terms: set[str] | None = None
+        self.opened: tuple[int, int] | None = None
 
     def pushFilters(self, filters) -> Iterator:  # noqa: N802  the base class names it
         """Equality on ``term`` is answered from the posting dictionary; other filters stay with Spark."""
@@ -88,7 +89,8 @@ class BundleReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Places of blocks of a section.  The driver scans the metadata and checks it, and keeps none of it."""
-        found = container.scan_archive(self.path, self.dialect, self.block)
+        self.opened = self.state()
+        found =container.scan_archive(self.path, self.dialect, self.block)
         if self.section == "header":
             return [Part([tuple(found.header[n] for n in names(SCHEMAS["header"]))], None, 0)]
         blocks = found.blocks[self.section]
@@ -97,6 +99,11 @@ class BundleReader(DataSourceReader):
         start = found.header["index_offset" if self.section in ("documents", "postings") else "manifest_offset"]
         return [Part([], container.Block(start + b.offset, b.length, b.first), found.header["data_offset"]) for b in blocks] or [Part([], None, 0)]
 
+    def state(self) -> tuple[int, int]:
+        """Size and time of the archive; places that were found in another one don't hold."""
+        info = os.stat(self.path)
+        return info.st_size, info.st_mtime_ns
+
     def _entries(self, entries: list[dict], first: int) -> Iterator[tuple]:
         for k, e in enumerate(entries, first):
             yield tuple(e.get(n, {"position": k, "kind": "file"}.get(n)) for n in names(ENTRY))
@@ -114,7 +121,9 @@ class BundleReader(DataSourceReader):
         if block is None:
             yield from (tuple(r) for r in partition.rows)
             return
-        data = container.file_range(self.path)(block.offset, block.length)
+        if self.opened not in (None, self.state()):
+            raise container.FormatError(f"{self.path} changed after it was opened")
+        data =container.file_range(self.path)(block.offset, block.length)
         found = container.block_of(data, container.Block(0, block.length, 0), self.section, self.section in ("documents", "postings"))
         if self.section == "entries":
             yield from self._entries(found, block.first)

@@ -134,3 +134,39 @@ def test_queries_of_trees_and_logs_pack_nothing(spark, monkeypatch):
     monkeypatch.setattr(archive, "pack_all", never)
     for name in ("log_appended_and_read", "tree_analyze", "store_find"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_sections_and_walks_need_no_planning_processes(spark, packed):
+    archive.register(spark)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    source = spark.read.format("bundle")
+    for name in bundle.SCHEMAS:
+        got = archive.section(spark, packed, name)
+        there = source.option("section", name).load(packed)
+        assert "BatchScan" not in plan(got) and got.schema == there.schema
+        assert sorted(map(str, got.collect())) == sorted(map(str, there.collect()))
+    root = os.path.join(os.path.dirname(os.path.dirname(packed)), "tree")
+    rows = archive.walked(spark, root)[0]
+    assert "BatchScan" not in plan(rows) and rows.count() == spark.read.format("filetree").load(root).count()
+
+
+def test_named_terms_are_read_from_their_blocks(spark, packed):
+    postings = archive.section(spark, packed, "postings")
+    wanted = ["shore", "w7", "absent"]
+    got = archive.section(spark, packed, "postings", wanted)
+    assert sorted(got.collect()) == sorted(postings.where(postings.term.isin(wanted)).collect()) and got.count() > 1
+    reader = bundle.BundleReader({"path": packed, "section": "postings", "rows_per_task": "10"})
+    every = len(reader.partitions())
+    reader.terms = {*wanted}
+    assert len(reader.partitions()) <= 3 < every
+
+
+def test_an_archive_that_changed_since_it_was_opened_is_refused(spark, packed, tmp_path):
+    path = str(tmp_path / "b.cairn")
+    with open(packed, "rb") as one, open(path, "wb") as two:
+        two.write(one.read())
+    rows = archive.section(spark, path, "entries")
+    assert rows.count() > 240
+    os.utime(path, ns=(1, 1))
+    with pytest.raises(Exception, match="changed after it was opened"):
+        rows.collect()
