@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import codecs
+import json
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,8 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import EXCERPT
 
 
-def is_word(char: str) -> bool:
-    return char.isalnum()
+WORD = re.compile(r"[^\W_]+")  # what str.isalnum() says of each character
 
 
 @dataclass
@@ -36,21 +38,10 @@ class PieceTokenizer:
             raise ValueError("the text is finished")
         if len(self.excerpt) < EXCERPT:
             self.excerpt += text[: EXCERPT - len(self.excerpt)]
-        word: list[str] = [self.carry]
-        for char in text:
-            if is_word(char):
-                word.append(char)
-            else:
-                self._end("".join(word))
-                word = []
-        self.carry = "".join(word)
-        if final:
-            self._end(self.carry)
-            self.carry = ""
-
-    def _end(self, word: str) -> None:
-        if word:
-            self.terms.add(word.lower())
+        text = self.carry + text
+        words = WORD.findall(text)
+        self.carry = words.pop() if words and not final and text[-1].isalnum() else ""
+        self.terms.update(word.lower() for word in set(words))
 
     def finish(self) -> tuple[list[str], str]:
         """Sorted terms and the excerpt; may be called again."""
@@ -60,30 +51,52 @@ class PieceTokenizer:
         return sorted(self.terms), self.excerpt
 
 
-STATE = "carry string, terms array<string>, excerpt string, next long"
+STATE = "unfinished binary"
 OUT = "entry_id string, terms array<string>, excerpt string"
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    carry, terms, excerpt, at = state.get if state.exists else ("", [], "", 0)
-    machine = PieceTokenizer(carry=carry, terms=set(terms), excerpt=excerpt)
-    rows = pd.concat(list(frames)).sort_values("seq")
-    last = False
-    for seq, text, final in rows[["seq", "text", "final"]].itertuples(index=False):
-        if seq < at:
-            continue  # a piece that came twice
-        machine.feed_text(text or "", bool(final))
-        at, last = seq + 1, last or bool(final)
-    if last:
+def _load(state: GroupState) -> dict[str, tuple[PieceTokenizer, int]]:
+    """Of each unfinished document of a bucket: its tokenizer and the next piece."""
+    rows = json.loads(zlib.decompress(state.get[0])) if state.exists else []
+    return {key: (PieceTokenizer(carry=carry, terms=set(terms.split()), excerpt=excerpt), at) for key, carry, terms, excerpt, at in rows}
+
+
+def _save(state: GroupState, unfinished: dict[str, tuple[PieceTokenizer, int]]) -> None:
+    """Words hold no space, so they are one string; a compressed bucket takes a fraction of the state store's memory and disk."""
+    rows = [(key, m.carry, " ".join(sorted(m.terms)), m.excerpt, int(at)) for key, (m, at) in unfinished.items()]
+    if rows:
+        state.update((zlib.compress(json.dumps(rows, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1),))
+    elif state.exists:
         state.remove()
-        yield pd.DataFrame({"entry_id": [key[0]], "terms": [sorted(machine.terms)], "excerpt": [machine.excerpt]})
-    else:
-        state.update((machine.carry, sorted(machine.terms), machine.excerpt, int(at)))
 
 
-def index_pieces(pieces: DataFrame) -> DataFrame:
-    """Documents of a stream of pieces(entry_id, seq, text, final), each given out once its final piece has come."""
-    return pieces.groupBy("entry_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def _advance(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    unfinished, done = _load(state), {}
+    rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in ("entry_id", "seq", "text", "final")), strict=True)]
+    for key, seq, text, final in sorted(rows, key=lambda row: row[1]):
+        machine, at = done.get(key) or unfinished.get(key) or (PieceTokenizer(), 0)
+        if seq < at:
+            continue  # a piece that came twice
+        machine.feed_text(text or "", bool(final))
+        if final or key in done:
+            unfinished.pop(key, None)
+            done[key] = machine, seq + 1
+        else:
+            unfinished[key] = machine, seq + 1
+    _save(state, unfinished)
+    if done:
+        yield pd.DataFrame({"entry_id": [*done], "terms": [sorted(m.terms) for m, _ in done.values()], "excerpt": [m.excerpt for m, _ in done.values()]})
+
+
+def index_pieces(pieces: DataFrame, buckets: int = 1024) -> DataFrame:
+    """Documents of a stream of pieces(entry_id, seq, text, final), each given out once its final piece has come.
+
+    Documents share a state by bucket of their id, as a group of its own for each costs milliseconds.  A bucket's
+    state is written whole when one of its documents moves on, so ``buckets`` should grow with the documents under way;
+    it has to stay the same for as long as the stream's checkpoint is used.
+    """
+    bucket = F.pmod(F.xxhash64("entry_id"), F.lit(buckets))
+    return pieces.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def running_postings(documents: DataFrame) -> DataFrame:

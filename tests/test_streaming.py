@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,32 @@ def test_running_log_equals_batch(spark, tmp_path):
     drain(inc.log_windows(stream, "ts").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).start())
     batch = rows.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     assert sorted(spark.table("windows").collect()) == sorted(batch.collect())
+
+
+def test_documents_share_the_state_of_a_bucket(spark, tmp_path):
+    rows = [(f"d{d}", k, TEXT[k * 2000 : (k + 1) * 2000] + f" w{d}", k == 2) for d in range(60) for k in range(3)]
+    rows += [("odd", 1, "dle", False), ("odd", 0, "mid", False), ("odd", 1, "dle", False), ("odd", 2, None, True), ("never", 0, "ended", False)]
+    for batch in ((0,), (1, 1), (2,)):
+        spark.createDataFrame([r for r in rows if r[1] in batch], "entry_id string, seq long, text string, final boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("entry_id string, seq long, text string, final boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = inc.index_pieces(stream, 5).writeStream.format("memory").queryName("shared").outputMode("append").option("checkpointLocation", str(tmp_path / "cp3")).start()
+    query.processAllAvailable()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    query.stop()
+    whole = [(f"d{d}", "".join(r[2] for r in rows if r[0] == f"d{d}")) for d in range(60)] + [("odd", "middle")]
+    want = spark.createDataFrame(whole, "entry_id string, t string").select("entry_id", T.terms(F.col("t")), T.excerpt(F.col("t")))
+    assert sorted(spark.table("shared").collect()) == sorted(want.collect())
+    assert len(states) == 3 and max(states) <= 5 and states[-1] == 1
+
+
+def test_pieces_are_written_by_many_tasks(spark, tmp_path):
+    from cairnspark.plans import archives, catalog
+
+    texts = [(d, f"{TEXT[: 11 * d]} Straße{d}") for d in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["stream_pieces"](spark, str(tmp_path))
+    want = spark.createDataFrame(texts, "d long, t string").select(T.numbered("e", F.col("d")), F.array_join(T.terms(F.col("t")), " "), T.excerpt(F.col("t")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    root = Path(archives.spot(spark, str(tmp_path)).root)
+    assert len([*root.glob("pieces-*/*.parquet")]) == 12
+    assert sorted(p.name for p in root.glob("state-*/commits/[0-9]*")) == ["0", "1", "2"]
